@@ -22,7 +22,7 @@ def files(spark, d):
 
 
 def re2_ok(p: str) -> bool:
-    return not re.search(r"\(\?[=!<]|\\[1-9]|\\x\{", p)
+    return not re.search(r"\(\?[=!<]|\\[1-9]|\\x\{|\\u", p)
 
 
 def _re2(p: str, fl: str) -> str:
