@@ -36,6 +36,8 @@ def _step(kind: str, col: str | None, w_order, w_run):
         return F.last(col, ignorenulls=True).over(
             w_order.rowsBetween(Window.unboundedPreceding, -1)
         )
+    if kind == "max_before":
+        return F.max(col).over(w_order.rowsBetween(Window.unboundedPreceding, -1))
     raise ValueError(kind)
 
 
@@ -46,7 +48,8 @@ def ordered(
     steps: Mapping[str, tuple[str, str | None]],
     limit: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Add ordered columns. ``steps``: name -> (row_number|lag|running_sum|last_before, column).
+    """Add ordered columns. ``steps``: name -> (kind, column); kinds are row_number, lag,
+    running_sum, last_before (newest non-null) and max_before.
 
     ``order`` must be a total order inside each group (end it with a unique column).
     """
@@ -75,6 +78,8 @@ def _ranged(df, group, order, steps) -> DataFrame:
             aggs.append(F.count(F.lit(1)).alias(f"_{n}"))
         elif k == "running_sum":
             aggs.append(F.sum(c).alias(f"_{n}"))
+        elif k == "max_before":
+            aggs.append(F.max(c).alias(f"_{n}"))
         elif k == "lag":
             aggs.append(F.max_by(F.struct(F.col(c).alias("v")), key).alias(f"_{n}"))
         else:
@@ -88,6 +93,8 @@ def _ranged(df, group, order, steps) -> DataFrame:
     for n, (k, _) in steps.items():
         if k in ("row_number", "running_sum"):
             carry_cols[f"_{n}"] = F.sum(f"_{n}").over(before)
+        elif k == "max_before":
+            carry_cols[f"_{n}"] = F.max(f"_{n}").over(before)
         elif k == "lag":
             carry_cols[f"_{n}"] = F.lag(f"_{n}").over(we)
         else:
@@ -111,6 +118,8 @@ def _ranged(df, group, order, steps) -> DataFrame:
             final[n] = F.when(
                 F.col(f"_{n}").isNull(), F.col(n)
             ).otherwise(F.coalesce(F.col(n), zero) + F.coalesce(F.col(f"_{n}"), zero))
+        elif k == "max_before":
+            final[n] = F.greatest(n, f"_{n}")
         elif k == "lag":
             final[n] = F.when(F.col("_first"), F.col(f"_{n}.v")).otherwise(F.col(n))
         else:
