@@ -1,4 +1,4 @@
-from siteaudit.workload import q_contracts, q_elements, q_findings, q_rules  # noqa: F401
+from siteaudit.workload import q_contracts, q_elements, q_findings, q_rules, q_sources, q_text  # noqa: F401
 from siteaudit.workload.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
