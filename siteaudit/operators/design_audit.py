@@ -352,9 +352,6 @@ def capture_coverage(captures: DataFrame) -> DataFrame:
 
 def diagnostic_findings(diagnostics: DataFrame, identity: list[str]) -> DataFrame:
     """Browser diagnostics as findings, one per identity tuple."""
-    severity = (
-        F.when(F.col("kind").isin("pageerror", "error"), "error")
-        .when(F.col("kind") == "warning", "warning")
-        .otherwise("info")
+    return diagnostics.select(*identity).distinct().withColumn(
+        "status", F.when(F.col("severity") == "info", "informational").otherwise("pending")
     )
-    return diagnostics.select(*identity).distinct().withColumn("severity", severity)

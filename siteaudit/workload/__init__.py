@@ -1,4 +1,12 @@
-from siteaudit.workload import q_contracts, q_elements, q_findings, q_rules, q_sources, q_text  # noqa: F401
+from siteaudit.workload import (  # noqa: F401
+    q_contracts,
+    q_elements,
+    q_findings,
+    q_graph,
+    q_rules,
+    q_sources,
+    q_text,
+)
 from siteaudit.workload.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -642,9 +642,11 @@ def _(spark, d):
 def _(spark, d):
     e = table(spark, d, "events").select(
         "user_id", F.floor("value").alias("v"), "event_type",
-        F.expr("CASE event_type WHEN 'click' THEN 'warning' ELSE event_type END").alias("kind"),
+        F.expr(
+            "CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'warning' ELSE 'info' END"
+        ).alias("severity"),
     )
-    out = da.diagnostic_findings(e, ["user_id", "event_type", "v", "kind"])
+    out = da.diagnostic_findings(e, ["user_id", "event_type", "v", "severity"])
     return _n(out, "severity")
 
 
