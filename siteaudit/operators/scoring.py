@@ -282,6 +282,3 @@ def run_snapshot(scores: DataFrame, trigger: str, ts: Column) -> DataFrame:
         "pending",
     )
 
-
-def append_run(rows: DataFrame, folder: str) -> None:
-    rows.write.mode("append").partitionBy("run_date").parquet(folder)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from siteaudit.plans.session import cut
 
 
+# Rounds between two checkpoints. A round reads its input twice, so unrolling more multiplies work.
+ROUNDS_PER_CUT = 1
+
+
 def _empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 
@@ -31,24 +35,21 @@ def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 
 def spread_min(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest ``label`` that reaches each node along the edges: nodes(node, label)."""
-    cur = cut(nodes)
+    cur = cut(nodes.withColumn("before", F.col("label")))
     while True:
-        pushed = (
-            cur.join(edges, cur["node"] == edges["src"])
-            .groupBy(F.col("dst").alias("node"))
-            .agg(F.min("label").alias("inlabel"))
-        )
-        nxt = cut(
-            cur.join(pushed, "node", "left").select(
-                "node",
-                F.least("label", "inlabel").alias("label"),
-                F.coalesce(F.col("inlabel") < F.col("label"), F.lit(False)).alias("moved"),
+        start = cur.select("node", "label", F.col("label").alias("before"))
+        for _ in range(ROUNDS_PER_CUT):
+            pushed = (
+                start.join(edges, start["node"] == edges["src"])
+                .groupBy(F.col("dst").alias("node"))
+                .agg(F.min("label").alias("inlabel"))
             )
-        )
-        moved = not _empty(nxt.where("moved"))
-        cur = nxt.drop("moved")
-        if not moved:
-            return cur
+            start = start.join(pushed, "node", "left").select(
+                "node", F.least("label", "inlabel").alias("label"), "before"
+            )
+        cur = cut(start)
+        if _empty(cur.where("label < before")):
+            return cur.select("node", "label")
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -99,16 +100,47 @@ def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     selfish = joined.where("src = dst").select(F.col("cs").alias("comp")).distinct()
     big = comp.groupBy("comp").count().where("count > 1").select("comp")
     cyclic = big.unionByName(selfish).distinct().withColumn("cyclic", F.lit(True))
-    todo = cut(comp.select("comp").distinct())
-    levels, level = None, 0
-    while not _empty(todo):
-        waiting = dag.join(todo.withColumnRenamed("comp", "dst"), "dst", "left_semi").select(
-            F.col("src").alias("comp")
-        )
-        ready = cut(todo.join(waiting, "comp", "left_anti").withColumn("level", F.lit(level)))
-        levels = ready if levels is None else cut(levels.unionByName(ready))
-        todo = cut(todo.join(ready, "comp", "left_anti"))
-        level += 1
+    levels = _peel(comp.select("comp").distinct(), dag)
     return comp.join(levels, "comp").join(cyclic, "comp", "left").select(
         "node", "comp", "level", F.coalesce("cyclic", F.lit(False)).alias("cyclic")
     )
+
+
+def _peel(comps: DataFrame, dag: DataFrame) -> DataFrame:
+    """(comp, level): level 0 depends on nothing, level n on something of level n - 1.
+
+    Each round only the newest level meets the edges; a component is ready when as many of
+    its dependencies are done as it has.
+    """
+    degree = dag.groupBy(F.col("src").alias("comp")).agg(F.count(F.lit(1)).alias("deg"))
+    state = cut(
+        comps.join(degree, "comp", "left").select(
+            "comp",
+            F.coalesce("deg", F.lit(0)).alias("deg"),
+            F.lit(0).cast("bigint").alias("met"),
+            F.when(F.col("deg").isNull(), 0).alias("level"),
+        )
+    )
+    level = 0
+    while not _empty(state.where(F.col("level") == level)):
+        for _ in range(ROUNDS_PER_CUT):
+            state = _peel_once(state, dag, level)
+            level += 1
+        state = cut(state)
+    return state.select("comp", "level")
+
+
+def _peel_once(state: DataFrame, dag: DataFrame, level: int) -> DataFrame:
+    newest = state.where(F.col("level") == level).select(F.col("comp").alias("dst"))
+    met = dag.join(newest, "dst").groupBy(F.col("src").alias("comp")).agg(
+        F.count(F.lit(1)).alias("more")
+    )
+    total = F.col("met") + F.coalesce("more", F.lit(0))
+    return state.join(met, "comp", "left").select(
+        "comp",
+        "deg",
+        total.alias("met"),
+        F.when(F.col("level").isNotNull(), F.col("level"))
+        .when(total == F.col("deg"), level + 1)
+        .alias("level"),
+    )

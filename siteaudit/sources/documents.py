@@ -227,6 +227,11 @@ def annotations(findings: DataFrame) -> DataFrame:
     )
 
 
+def append_run_log(rows: DataFrame, folder: str) -> None:
+    """Append run rows to the log, one partition per date."""
+    rows.write.mode("append").partitionBy("run_date").parquet(folder)
+
+
 GRAPH_VERSION = 1
 
 

@@ -5,6 +5,7 @@ from siteaudit.workload import (  # noqa: F401
     q_graph,
     q_rules,
     q_sources,
+    q_streaming,
     q_text,
 )
 from siteaudit.workload.registry import QUERIES, SQL

@@ -162,7 +162,17 @@ SELECT DISTINCT CASE WHEN l_orderkey % 40 = 0 THEN l_partkey % 300 ELSE greatest
 """
 
 
-@query("topo_order")
+@query(
+    "topo_order",
+    f"""WITH RECURSIVE e AS (SELECT * FROM {duck(_DEPS)}), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r
+ JOIN e ON e.src = r.b), c AS (SELECT n AS node, least(n, coalesce(min(x.b), n)) AS comp FROM (SELECT src AS n FROM e UNION SELECT
+ dst FROM e) LEFT JOIN (SELECT p.a, p.b FROM r p JOIN r q ON p.a = q.b AND p.b = q.a) x ON x.a = n GROUP BY n), g AS (SELECT
+ DISTINCT s.comp AS src, t.comp AS dst FROM e JOIN c s ON s.node = e.src JOIN c t ON t.node = e.dst WHERE s.comp <> t.comp),
+ l(comp, level) AS (SELECT DISTINCT comp, 0 FROM c UNION SELECT g.src, level + 1 FROM l JOIN g ON g.dst = l.comp)
+ SELECT node, comp, level, comp IN (SELECT comp FROM c GROUP BY comp HAVING count(*) > 1) OR comp IN (SELECT c.comp FROM e JOIN c
+ ON c.node = e.src WHERE e.src = e.dst) AS cyclic FROM c JOIN (SELECT comp, max(level) AS level FROM l GROUP BY comp) USING
+ (comp)""",
+)
 def _(spark, d):
     e = view(spark, d, _DEPS)
     nodes = e.select(F.col("src").alias("node")).unionAll(e.select(F.col("dst").alias("node")))
