@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,23 +12,33 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def _checkpoint_ready(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    else:
-        raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
+    if not sc.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared:
+            sc.setCheckpointDir(shared)
+        elif sc.master.startswith("local"):
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder; lost executors do not lose it."""
-    _checkpoint_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Ends the lineage like a checkpoint does, survives lost executors, computes the rows once,
+    and gives the optimizer real sizes for the joins that follow.
+    """
+    at = new_folder(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from siteaudit.plans.session import _checkpoint_ready
+from siteaudit.plans.session import new_folder
 from siteaudit.sources.documents import append_run_log, load_graph, save_graph
 from siteaudit.streaming import watch
 from siteaudit.workload.derive import FINDINGS, duck, table, view
@@ -15,12 +13,6 @@ from siteaudit.workload.q_rules import PAGE_COUNTS
 from siteaudit.workload.registry import query
 
 
-def scratch(spark) -> str:
-    """A new folder beside the checkpoints, shared by all executors."""
-    _checkpoint_ready(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
 def stream(spark, d, name):
     return (
         spark.readStream.schema(table(spark, d, name).schema)
@@ -31,7 +23,7 @@ def stream(spark, d, name):
 
 @query("watch_scan", f"SELECT path, detector_id, CAST(n AS BIGINT) AS n FROM ({PAGE_COUNTS})")
 def _(spark, d):
-    at = scratch(spark)
+    at = new_folder(spark)
     src = stream(spark, d, "pages").select(
         F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("path"),
         F.lit("html").alias("ext"),
@@ -47,7 +39,7 @@ def _(spark, d):
     "SELECT DISTINCT user_id || '|' || event_type AS fingerprint FROM events",
 )
 def _(spark, d):
-    at = scratch(spark)
+    at = new_folder(spark)
     f = stream(spark, d, "events").select(
         F.concat_ws("|", "user_id", "event_type").alias("fingerprint"), F.col("ts").cast("timestamp")
     )
@@ -86,7 +78,7 @@ def _(spark, d):
  '2024-01-02']) AS run_date) t WHERE okey % 50 = 0 GROUP BY 1""",
 )
 def _(spark, d):
-    at = scratch(spark)
+    at = new_folder(spark)
     f = view(spark, d, FINDINGS).where("okey % 50 = 0").select("rid", "tier")
     for day in ("2024-01-01", "2024-01-02"):
         append_run_log(f.withColumn("run_date", F.to_date(F.lit(day))), f"{at}/runs")
@@ -105,7 +97,7 @@ def _(spark, d):
 def _(spark, d):
     from siteaudit.operators.graph import build_graph
 
-    at = scratch(spark)
+    at = new_folder(spark)
     save_graph(*build_graph(view(spark, d, _FACTS)), at)
     nodes, edges = load_graph(spark, at)
     one = lambda df, n: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("part"), "n")
