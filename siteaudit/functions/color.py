@@ -97,10 +97,32 @@ def normalize_colors(texts: Column) -> Column:
     return F.transform(F.transform(texts, lambda t: F.lower(F.trim(t))), _normalize)
 
 
+# What browsers return for most colours; channel values come from a table of 256.
+PLAIN = r"^rgba?\(\s*\d{1,3}\s*,\s*\d{1,3}\s*,\s*\d{1,3}\s*(?:,\s*(?:0|1|0?\.\d+)\s*)?\)$"
+
+
+def _srgb_table() -> Column:
+    values = [i / 255 for i in range(256)]
+    lin = [v / 12.92 if v <= 0.04045 else ((v + 0.055) / 1.055) ** 2.4 for v in values]
+    return F.expr("array(" + ",".join(f"{v!r}D" for v in lin) + ")")
+
+
+def _plain(t: Column) -> Column:
+    byte = lambda x: F.get(_srgb_table(), F.least(x.cast("int"), F.lit(255)))
+    return let(
+        F.regexp_extract_all(t, F.lit(r"[0-9.]+"), F.lit(0)),
+        lambda p: rgba(
+            *[byte(F.get(p, i)) for i in range(3)],
+            F.when(F.size(p) == 4, clamp(F.get(p, 3).cast("double"))).otherwise(1.0),
+        ),
+    )
+
+
 def _normalize(t: Column) -> Column:
     call = F.regexp_extract(t, r"^(rgba?|hsla?|oklab|oklch|color)\(.*\)$", 1)
     return (
-        F.when(t == "transparent", rgba_lit((0, 0, 0, 0)))
+        F.when(t.rlike(PLAIN), _plain(t))
+        .when(t == "transparent", rgba_lit((0, 0, 0, 0)))
         .when(F.startswith(t, F.lit("#")), let(F.regexp_extract(t, r"^#([0-9a-f]{3,8})$", 1), _hex))
         .when(call != "", let(_arguments(t, call), _function))
     )

@@ -14,7 +14,7 @@ from siteaudit.functions.color import (
     over,
     rgba_lit,
 )
-from siteaudit.plans.ordered import GROUP_ROWS, group_median, ordered
+from siteaudit.plans.ordered import GROUP_ROWS, group_median, largest_group, ordered
 
 # Fixed values.
 INTERACTIVE = (
@@ -68,8 +68,7 @@ def _drift(elements: DataFrame, group: list[str], signature: list[str]) -> DataF
 
     Signatures are counted before anything is grouped, so group size never matters.
     """
-    sig = F.to_json(F.struct(*signature), {"ignoreNullFields": "false"})
-    rows = elements.withColumn("_sig", sig)
+    rows = elements.withColumn("_sig", F.struct(*signature))
     counts = rows.groupBy(*group, "_sig").agg(F.count(F.lit(1)).alias("_n"))
     top = counts.groupBy(*group).agg(F.sum("_n").alias("_all"), F.max("_n").alias("_top"))
     modal = (
@@ -80,7 +79,7 @@ def _drift(elements: DataFrame, group: list[str], signature: list[str]) -> DataF
         .where("_ties = 1")
         .select(*group, "_modal")
     )
-    return rows.join(modal, group).where("_sig <> _modal").select(*elements.columns)
+    return rows.join(modal, group).where("NOT (_sig <=> _modal)").select(*elements.columns)
 
 
 def component_drift(elements: DataFrame) -> DataFrame:
@@ -136,9 +135,12 @@ def spatial_rhythm(
 ) -> DataFrame:
     """Gaps to the previous sibling that stray from the group's median gap."""
     e = elements.withColumn("_bottom", F.col("y") + F.col("height"))
-    lagged = ordered(e, group, ["y", "x", "ord", unique], {"_prev": ("lag", "_bottom")}, limit)
+    largest = largest_group(e, group)
+    lagged = ordered(
+        e, group, ["y", "x", "ord", unique], {"_prev": ("lag", "_bottom")}, limit, largest
+    )
     gaps = lagged.withColumn("gap", F.col("y") - F.col("_prev"))
-    mid = group_median(gaps, group, "gap", "median_gap", limit)
+    mid = group_median(gaps, group, "gap", "median_gap", limit, largest)
     size = e.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 4")
     tol = F.greatest(F.lit(4.0), F.abs("median_gap") * 0.25)
     return (

@@ -17,6 +17,41 @@ from siteaudit.operators.rule_catalog import STYLE, TEMPLATE
 
 Check = Callable[[Column], Column]
 CHECKS: dict[str, tuple[str, str, Check]] = {}
+# Lower-case literals without which a check cannot fire; tested before its patterns run.
+NEEDS: dict[str, str] = {
+    "ORPHANED_LABEL_SLOP": "<label",
+    "ORPHANED_LABEL_COMPONENT": "<label",
+    "SELECT_NO_LABEL_SLOP": "<select",
+    "CARD_NESTING_SLOP": "card",
+    "ROUND_NUMBER_SLOP": "%",
+    "INPUT_IME_ENTER_UNGUARDED_SLOP": "onkeydown",
+    "HOVER_ONLY_REVEAL_SLOP": "group-hover:",
+    "IMG_MISSING_DIMENSIONS_SLOP": "<img",
+    "SRCSET_MISSING_SLOP": "<img",
+    "SORTABLE_TABLE_ARIA_SORT_SLOP": "<th",
+    "PLACEHOLDER_ONLY_INPUT_SLOP": "placeholder=",
+    "MEDIA_AUTOPLAY_SLOP": "autoplay",
+    "ANCHOR_TARGET_BLANK_SLOP": "_blank",
+    "VIDEO_NO_CAPTIONS_SLOP": "<video",
+    "HARDCODED_COPYRIGHT_YEAR_SLOP": "20",
+    "SKIP_TO_CONTENT_MISSING_SLOP": "<main",
+    "OUTLINE_NONE_SLOP": "outline-none",
+    "REDUCED_MOTION_MISSING_SLOP": "animate-",
+    "STICKY_WITHOUT_TOP_SLOP": "sticky",
+    "FONT_DISPLAY_MISSING_SLOP": "@font-face",
+    "IMPORTANT_ABUSE_SLOP": "!important",
+    "CSS_IMPORTANT_ANIMATION_SLOP": "!important",
+    "MISSING_KEY_PROP_SLOP": ".map",
+    "USEEFFECT_EMPTY_DEPS_SLOP": "useeffect",
+    "UNUSED_STATE": "usestate",
+    "UNUSED_IMPORT": "import",
+    "DUPLICATE_IMPORT_SLOP": "import",
+    "NO_PASSIVE_SCROLL_LISTENER_SLOP": "addeventlistener",
+    "HARDCODED_DEV_URL_SLOP": "http",
+    "THREE_EQUAL_COLUMN_SLOP": "grid-cols-3",
+    "TAILWIND_FONT_CONFLICT_SLOP": "text-",
+    "TAILWIND_WEIGHT_CONFLICT_SLOP": "font-",
+}
 
 
 def has(text: Column, pattern: str) -> Column:

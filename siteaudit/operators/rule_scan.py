@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siteaudit.functions.regex import fold, java, match_offsets, required_literals
 from siteaudit.operators.findings import canonical, fingerprint, severity_of, source_anchor
 from siteaudit.operators.rule_catalog import RULES
-from siteaudit.operators.rule_checks import CHECKS, REPORTED_AS, dev_proxy_exempt
+from siteaudit.operators.rule_checks import CHECKS, NEEDS, REPORTED_AS, dev_proxy_exempt
 
 MAX_BYTES = 1_000_000
 # Rules active only above a design-variance setting.
@@ -164,13 +164,16 @@ def scan_checks(
         if not _wanted(kinds, exts) or (rules is not None and name not in rules):
             continue
         at = build(F.col("content"))
+        gate = F.expr(_one_of(kinds))
+        if rid in NEEDS:
+            gate = gate & F.contains("_low", F.lit(NEEDS[rid]))
         if rid == "HARDCODED_DEV_URL_SLOP":
             at = F.when(~dev_proxy_exempt(F.col("path"), F.col("content")), at)
         rows.append(
             F.struct(
                 F.lit(name).alias("detector_id"),
                 F.lit(tier).alias("tier"),
-                F.when(F.expr(_one_of(kinds)), at).cast("int").alias("start"),
+                F.when(gate, at).cast("int").alias("start"),
             )
         )
     found = F.filter(F.array(*rows), lambda r: r["start"].isNotNull())
@@ -178,6 +181,7 @@ def scan_checks(
     bol_text = F.substring_index(head, "\n", -1)
     return (
         eligible(sources)
+        .withColumn("_low", fold(F.col("content")))
         .select("path", "content", F.explode(found).alias("f"))
         .select(
             "path",

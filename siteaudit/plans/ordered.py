@@ -47,13 +47,16 @@ def ordered(
     order: Sequence[str],
     steps: Mapping[str, tuple[str, str | None]],
     limit: int = GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add ordered columns. ``steps``: name -> (kind, column); kinds are row_number, lag,
     running_sum, last_before (newest non-null) and max_before.
 
     ``order`` must be a total order inside each group (end it with a unique column).
+    ``largest`` passes a group size already measured.
     """
-    if largest_group(df, group) <= limit:
+    largest = largest_group(df, group) if largest is None else largest
+    if largest <= limit:
         w = Window.partitionBy(*group).orderBy(*order)
         run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({n: _step(k, c, w, run) for n, (k, c) in steps.items()})
@@ -128,11 +131,17 @@ def _ranged(df, group, order, steps) -> DataFrame:
 
 
 def group_median(
-    df: DataFrame, group: Sequence[str], value: str, name: str, limit: int = GROUP_ROWS
+    df: DataFrame,
+    group: Sequence[str],
+    value: str,
+    name: str,
+    limit: int = GROUP_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Exact median per group; hot groups are ranked across ranges, never gathered."""
     rows = df.where(F.col(value).isNotNull())
-    if largest_group(rows, group) <= limit:
+    largest = largest_group(rows, group) if largest is None else largest
+    if largest <= limit:
         return rows.groupBy(*group).agg(F.median(value).alias(name))
     slim = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_k"))
     total = slim.groupBy(*group).agg(F.sum("_k").alias("_t"))

@@ -10,11 +10,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siteaudit.plans.session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
 
+# Tables that may arrive as one file and are worth spreading over the cores.
+LARGE = ("lineitem", "orders")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,6 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
+    used = {t: spread(df) if t in LARGE else df for t, df in used.items()}
     text = text.replace("\\", "\\\\").replace("{", "{{").replace("}", "}}")
     for t in used:
         text = text.replace("{{" + t + "}}", "{" + t + "}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteaudit.operators import contracts as ct
+from siteaudit.plans.session import cut
 from siteaudit.workload.derive import duck, table, view
 from siteaudit.workload.registry import query
 
@@ -219,8 +220,9 @@ _PX = f"""(SELECT f.op_id AS front_op, back_op, f.k AS fk, CAST(substr(back_op,
 
 
 def _pairs(spark, d):
+    # Several difference tables read the pairs; they are narrow, so they are written once.
     front = sides(spark, d)[0]
-    return ct.operation_pairs(front, _picked(spark, d), front.where("FALSE"))
+    return cut(ct.operation_pairs(front, _picked(spark, d), front.where("FALSE")))
 
 
 _TRANSPORT = f"""WITH p AS (SELECT front_op, back_op FROM {_PX}),
