@@ -16,8 +16,10 @@ def java(pattern: str, flags: str = "", unicode: bool = True) -> str:
 
 
 def fold(text: Column) -> Column:
-    """Lower-case copy that keeps every character a caseless regex would accept."""
-    return F.lower(F.upper(F.translate(text, "İ", "i")))
+    """Lower-case copy in which every letter a caseless regex accepts is its ASCII form."""
+    for odd, plain in (("İ", "i"), ("ı", "i"), ("ſ", "s"), ("\u212a", "k")):
+        text = F.replace(text, F.lit(odd), F.lit(plain))
+    return F.lower(text)
 
 
 def required_literals(pattern: str) -> list[str] | None:
