@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteaudit.operators.findings import evidence_digest
@@ -212,38 +212,46 @@ def _first(rows: DataFrame, rank: Column) -> DataFrame:
 
 
 def transport_diff(pairs: DataFrame, params: DataFrame, media: DataFrame) -> DataFrame:
-    """Parameters (a lone differing path parameter may be renamed), then media types."""
-    f = pairs.join(params.withColumnRenamed("op_id", "front_op"), "front_op").select(
-        "front_op", "back_op", "location", "name", "serial"
-    )
-    b = pairs.join(params.withColumnRenamed("op_id", "back_op"), "back_op").select(
-        "front_op", "back_op", "location", "name", "serial", "required"
-    )
+    """Parameters (a lone differing path parameter may be renamed), then media types.
+
+    Both sides' parameters are laid out by pair once; everything after that stays in place.
+    """
     key = ["front_op", "back_op"]
-    lone = lambda df, n: df.where("location = 'path'").groupBy(*key).agg(
-        F.count(F.lit(1)).alias(f"_{n}n"), F.min("name").alias(f"_{n}")
-    )
-    ren = lone(f, "f").join(lone(b, "b"), key).where("_fn = 1 AND _bn = 1 AND _f <> _b")
-    f = f.join(ren.select(*key, F.col("_b").alias("_to")), key, "left").withColumn(
-        "name",
-        F.when((F.col("location") == "path") & F.col("_to").isNotNull(), F.col("_to")).otherwise(
-            F.col("name")
-        ),
+
+    def side(op: str, front: bool) -> DataFrame:
+        return pairs.join(params.withColumnRenamed("op_id", op), op).select(
+            *key, "location", "name", "serial", "required", F.lit(front).alias("front")
+        )
+
+    rows = side("front_op", True).unionByName(side("back_op", False)).repartition(*key)
+    w = Window.partitionBy(*key)
+    path = F.col("location") == "path"
+    of = lambda front: path & (F.col("front") == front)
+    rows = rows.withColumns(
+        {
+            "_any": F.max("front").over(w),
+            "_fn": F.count(F.when(of(True), 1)).over(w),
+            "_bn": F.count(F.when(of(False), 1)).over(w),
+            "_bname": F.min(F.when(of(False), F.col("name"))).over(w),
+        }
     )
-    fr = f.select(*key, "location", "name", F.col("serial").alias("fs"), F.lit(True).alias("inf"))
-    bk = b.select(
-        *key, "location", "name", F.col("serial").alias("bs"), "required", F.lit(True).alias("inb")
+    lone = (F.col("_fn") == 1) & (F.col("_bn") == 1) & of(True)
+    rows = rows.withColumn("name", F.when(lone, F.col("_bname")).otherwise(F.col("name")))
+    is_f = F.col("front")
+    j = rows.groupBy(*key, "location", "name").agg(
+        F.max("_any").alias("_any"),
+        F.max(is_f).alias("inf"),
+        F.max(~is_f).alias("inb"),
+        F.max(F.when(is_f, F.col("serial"))).alias("fs"),
+        F.max(F.when(~is_f, F.col("serial"))).alias("bs"),
+        F.coalesce(F.max(F.when(~is_f, F.col("required"))), F.lit(False)).alias("required"),
     )
-    j = fr.join(bk, [*key, "location", "name"], "full_outer")
-    any_front = f.select(*key).distinct().withColumn("_any", F.lit(True))
-    j = j.join(any_front, key, "left")
     kind = (
         F.when(
-            F.col("_any").isNull(),
-            F.when(F.col("required"), "required_parameter_evidence_unknown"),
+            ~F.col("_any"), F.when(F.col("required"), "required_parameter_evidence_unknown")
         )
-        .when(F.col("inb").isNull(), "parameter_not_supported")
-        .when(F.col("inf").isNull(), F.when(F.col("required"), "required_parameter_missing"))
+        .when(~F.col("inb"), "parameter_not_supported")
+        .when(~F.col("inf"), F.when(F.col("required"), "required_parameter_missing"))
         .when(F.col("fs") != F.col("bs"), "parameter_serialization_mismatch")
     )
     field = F.concat_ws(":", "location", "name")

@@ -42,9 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rebalance inputs that arrive in fewer splits than there are cores (one small file)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    """Rebalance a table read from fewer splits than there are cores (one small file).
+
+    Judged by file count and size, so a large table is never reshuffled for this.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    by_size = size // (128 * 1024 * 1024)
+    if by_size >= cores or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores)
 
