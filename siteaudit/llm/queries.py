@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from siteaudit.llm import decontaminate, packing
+from siteaudit.llm import decontaminate, jaccard, line_dedup, packing
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -68,6 +68,57 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("items", "spans")
 
 
+@query(
+    "op3_jaccard_join",
+    r"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, coalesce(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+    g AS (SELECT DISTINCT doc_id, list_slice(w, k, k + 4) AS s
+      FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+      FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+    e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b
+      WHERE 100 * c >= 75 * (x.n + y.n - c)),
+    r(doc_id, other) AS (
+      SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+    SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id
+    FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id
+    """,
+)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.components_of(read(spark, folder, "documents"))
+
+
+@query(
+    "op4_line_dedup",
+    r"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE length(text) > 0),
+    s AS (
+      SELECT doc_id, l, k, list_transform(l, lambda x: len(regexp_extract_all(x, '\S+'))) AS w
+      FROM (SELECT *, unnest(range(1, len(l) + 1)) AS k FROM d)),
+    u AS (
+      SELECT doc_id, k, l, n FROM (SELECT *, unnest(range(1, len(l) - k + 2)) AS n FROM s)
+      WHERE list_sum(list_slice(w, k, k + n - 1)) >= 30),
+    g AS (SELECT doc_id, k, n, md5(array_to_string(list_slice(l, k, k + n - 1), chr(10))) AS run FROM u),
+    f AS (SELECT *, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, k) AS nth FROM g),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS k FROM f WHERE nth > 1),
+    kept AS (
+      SELECT s.doc_id, count(*) AS n_lines, count(gone.k) AS n_deleted,
+        string_agg(CASE WHEN gone.k IS NULL THEN s.l[s.k] END, chr(10) ORDER BY s.k) AS text
+      FROM s LEFT JOIN gone ON gone.doc_id = s.doc_id AND gone.k = s.k GROUP BY s.doc_id)
+    SELECT t.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_deleted, 0)::BIGINT AS n_deleted,
+      CASE WHEN coalesce(n_deleted, 0) > 0 THEN coalesce(kept.text, '') ELSE t.text END AS text
+    FROM documents t LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup(read(spark, folder, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 @query("op9_packing")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"), vocabulary())
