@@ -18,6 +18,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +41,16 @@ class WordCodes:
 
     The tokenizer never joins characters over white space, so the ids of a text are those of
     its blank-separated words in turn. Words met before are looked up; the table is emptied
-    when it holds ``limit`` words. A word ending in one full stop or comma after a letter is
-    its stem and that sign, as the tokenizer splits there too.
+    when it holds ``limit`` words. The tokenizer lowers case itself, so words are looked up in
+    lower case, but for texts with a letter whose lower case is not a matter of that letter
+    alone, or with what may be a special token. A word that ends in signs after a letter is its stem and the run of signs, as the
+    tokenizer splits there too. Stems of letters alone are encoded many at once and told apart
+    by the tokens that end words.
     """
 
+    SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+    AT_ONCE = 200
+
     def __init__(self, path: str, limit: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -51,12 +58,29 @@ class WordCodes:
         self.tok = Tokenizer.from_file(path)
         self.limit = limit
         self.known: dict[str, bytes] = {"": b""}
-
-    def _codes(self, words: list[str]) -> list[bytes]:
-        import numpy as np
-
-        got = self.tok.encode_batch_fast(words, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in got]
+        vocabulary = self.tok.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _codes(self, words: list[str]) -> dict[str, bytes]:
+        plain = [w for w in words if w.isalpha()]
+        other = [w for w in words if not w.isalpha()]
+        got = self.tok.encode_batch_fast(other, add_special_tokens=False)
+        out = {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(other, got, strict=True)}
+        groups = [plain[i : i + self.AT_ONCE] for i in range(0, len(plain), self.AT_ONCE)]
+        got = self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, got, strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (np.nonzero(self.ends[ids])[0] + 1) * 4
+            if len(ends) != len(group):  # a letter that the tokenizer knows otherwise
+                alone = self.tok.encode_batch_fast(group, add_special_tokens=False)
+                out |= {w: np.asarray(x.ids, "<u4").tobytes() for w, x in zip(group, alone, strict=True)}
+                continue
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(group, ends.tolist(), strict=True):
+                out[w] = raw[start:end]
+                start = end
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -64,27 +88,25 @@ class WordCodes:
         if len(known) >= self.limit:
             known.clear()
             known[""] = b""
-        split = [
-            t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else []
-            for t in texts
-        ]
+        split = []
+        for t in texts:
+            t = (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ")
+            if not ("\u0130" in t or "\u03a3" in t or "<|" in t):
+                t = t.lower()
+            split.append(t.split(" "))
         new = {w for words in split for w in words if w not in known}
         tails = {}
         stems = set()
         for w in new:
-            if w[-1] in ".," and w[-2:-1].isalpha():
-                tails[w] = w[:-1]
-                if w[:-1] not in known:
-                    stems.add(w[:-1])
+            stem = w.rstrip(self.SIGNS) if "<|" not in w else w
+            if stem and stem != w and stem[-1].isalpha():
+                tails[w] = (stem, w[len(stem) :])
+                stems.update(x for x in tails[w] if x not in known)
             else:
                 stems.add(w)
-        if tails:
-            stems |= {s for s in ".," if s not in known}
-        order = list(stems)
-        for w, b in zip(order, self._codes(order) if order else [], strict=True):
-            known[w] = b
-        for w, stem in tails.items():
-            known[w] = known[stem] + known[w[-1]]
+        known |= self._codes(list(stems))
+        for w, (stem, tail) in tails.items():
+            known[w] = known[stem] + known[tail]
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
