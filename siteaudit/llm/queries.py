@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from siteaudit.llm import decontaminate, jaccard, line_dedup, packing
+from siteaudit.llm import (
+    decontaminate,
+    divergence,
+    jaccard,
+    line_dedup,
+    packing,
+    quality,
+    sharding,
+    toxicity,
+)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -122,3 +131,41 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_packing")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"), vocabulary())
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.verdicts(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query("op6_sharding")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign(read(spark, folder, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "vslot",
+    )
+
+
+@query("op7_divergence")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.verdicts(read(spark, folder, "documents"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    model = toxicity.fit(docs, read(spark, folder, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+        "n_toxic",
+        "spans",
+    )
