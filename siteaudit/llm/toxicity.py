@@ -35,7 +35,7 @@ from siteaudit.plans.session import cut
 
 SAMPLE = 4_000
 LEAST_DOCS, LEAST_SHARE = 4, 0.01  # a feature's documents and their share of the toxic ones
-RATIO = 12.0
+RATIO = 4.0
 FOLDS = 3
 LEXICON = 4_000
 REACH = 4
@@ -289,8 +289,8 @@ class Field:
 
 def evidence(p: np.ndarray) -> tuple[float, float]:
     """Of a document: the log odds of its largest marginal, and the log of their sum."""
-    top = min(max(float(p.max(initial=0.0)), 1e-6), 1 - 1e-6)
-    return float(np.log(top / (1 - top))), float(np.log(1e-6 + p.sum()))
+    top = min(max(float(p.max(initial=0.0)), 1e-3), 1 - 1e-4)
+    return float(np.log(top / (1 - top))), float(np.log(0.05 + p.sum()))
 
 
 def fit_scale(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
