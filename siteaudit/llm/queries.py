@@ -11,6 +11,7 @@ from siteaudit.llm import (
     jaccard,
     line_dedup,
     packing,
+    pseudonyms,
     quality,
     sharding,
     toxicity,
@@ -40,6 +41,12 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op1_pseudonyms")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    made = pseudonyms.pseudonymised(read(spark, folder, "documents"))
+    return made.select("doc_id", F.size("kinds").cast("long").alias("n_values"), "kinds", "pseudonyms", "text")
+
+
 @query(
     "op2_decontaminate",
     r"""
