@@ -9,6 +9,7 @@ from siteaudit.llm import (
     decontaminate,
     divergence,
     jaccard,
+    licences,
     line_dedup,
     packing,
     pseudonyms,
@@ -135,6 +136,12 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup(read(spark, folder, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
 
 
+@query("op8_licences")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return licences.scanned(docs, licences.fit(spark, docs))
+
+
 @query("op9_packing")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"), vocabulary())
