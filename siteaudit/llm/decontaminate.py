@@ -23,6 +23,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from siteaudit.llm.words import plain_words
 
@@ -146,14 +147,14 @@ def decontaminate(
     return docs.select("doc_id", "text").mapInArrow(run, RESULT)
 
 
-def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents with the hit spans cut out of their texts; a text left without words goes.
+def clean(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, spans_only: bool = False
+) -> DataFrame:
+    """The documents without those that hold a window of an item, with all their columns.
 
-    Clean documents come back as they are, with all columns.
+    With ``spans_only`` the hit spans are cut out of the texts instead, and only a text that was
+    hit as a whole goes.
     """
-
-    from pyspark.sql import functions as F
-
     sc = docs.sparkSession.sparkContext
     sent = [sc.broadcast(b) for b in blocks(items, window)]
     names = docs.columns
@@ -162,23 +163,23 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches):
         machines = [automaton(b.value) for b in sent]
         for batch in batches:
-            texts = []
+            texts, keep = [], []
             for text in batch.column(at):
                 text = text.as_py()
                 hit, _ = scan(plain_words(text), machines)
-                if hit.any():
+                keep.append(not hit.any() or (spans_only and not hit.all()))
+                if spans_only and hit.any():
                     left, end = [], 0
                     for s in offsets(text, hit):
                         left.append(text[end : s["start"]])
                         end = s["end"]
-                    text = "".join([*left, text[end:]]) if not hit.all() else None
-                texts.append((text, bool(len(hit)) and bool(hit.all())))
+                    text = "".join([*left, text[end:]])
+                texts.append(text)
             cols = [batch.column(i) for i in range(len(names))]
-            cols[at] = pa.array([t for t, _ in texts], pa.string())
-            keep = pa.array([not gone for _, gone in texts], pa.bool_())
-            yield pa.RecordBatch.from_arrays(cols, names).filter(keep)
+            cols[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
 
     out = docs.mapInArrow(run, docs.schema)
-    if "n_chars" in names:
+    if spans_only and "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

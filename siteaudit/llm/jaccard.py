@@ -13,7 +13,7 @@ all pairs. The points are therefore dealt into blocks first, one tree a block:
   that unless 32 shingles in hash order all miss a common part of three quarters, which is
   rarer than 2 ** -64, the rate at which 64-bit hashes of shingles collide anyway.
 * A key held by more than ``block`` sets is split by the next shingle two sets may share, and
-  what is still larger into chunks that meet in pairs. No block drops a set.
+  what still has more than ``chunk`` sets into chunks that meet in pairs. No block drops a set.
 
 A block reports links between points as a spanning forest, since only classes matter. Classes
 of possible links are verified on whole sets; each set travels there once.
@@ -36,13 +36,14 @@ from pyspark.sql import functions as F
 
 from siteaudit.llm.components import components
 from siteaudit.llm.words import WordIds, shingles, space_words
-from siteaudit.plans.session import cut
+from siteaudit.plans.session import cut, small
 
 SIZE = 5
 KEYS = 32
 DIMS = 64
 LEAF = 32
-BLOCK = 3_000
+BLOCK = 600  # sets that share a key before the key is split
+CHUNK = 12_000  # sets that meet in one task
 CLASS_SHINGLES = 3_000_000
 
 
@@ -279,7 +280,7 @@ def chunked(rows: DataFrame, by: str, chunks, name) -> DataFrame:
     )
 
 
-def blocks(sets: DataFrame, block: int = BLOCK) -> DataFrame:
+def blocks(sets: DataFrame, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(key, node, side): the blocks whose points are to meet, each of bounded size."""
     first = sets.select(
         "node",
@@ -297,11 +298,15 @@ def blocks(sets: DataFrame, block: int = BLOCK) -> DataFrame:
     again = finer.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     split = finer.join(again, "key")
     rows = met.where(F.col("m") <= block).unionByName(split)
-    return chunked(rows, "key", F.ceil(F.col("m") / (4 * block)).cast("long"), "key").select("key", "node", "side")
+    return chunked(rows, "key", F.ceil(F.col("m") / chunk).cast("long"), "key").select("key", "node", "side")
 
 
 def components_of(
-    docs: DataFrame, size: int = SIZE, block: int = BLOCK, class_shingles: int = CLASS_SHINGLES
+    docs: DataFrame,
+    size: int = SIZE,
+    block: int = BLOCK,
+    chunk: int = CHUNK,
+    class_shingles: int = CLASS_SHINGLES,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``. See the module's text."""
     sketches = cut(sketch(docs, size))
@@ -311,7 +316,7 @@ def components_of(
         .agg(F.min("doc_id").alias("least_doc"), F.first("keys").alias("keys"), F.first("counts").alias("counts"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    met = blocks(sets, block).join(sets.select("node", "n", "counts"), "node")
+    met = blocks(sets, block, chunk).join(sets.select("node", "n", "counts"), "node")
     maybe = (
         met.repartition("key").sortWithinPartitions("key").mapInArrow(_meet_blocks, LINKS)
     )
@@ -368,3 +373,24 @@ def _verified(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int, m
         yield _as_batch(out)
 
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, LINKS)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document, that of the least id, left of each component.
+
+    Documents without shingles or without an id stay. Rows of one id and text count once.
+    """
+    found = cut(components_of(docs))
+    gone = found.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(small(cut(gone)), "doc_id", "left_anti")
+    again = cut(
+        found.where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    )
+    if not again.limit(1).count():
+        return kept.select(*docs.columns)
+    twice = small(again)
+    return (
+        kept.join(twice, "doc_id", "left_anti")
+        .unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+        .select(*docs.columns)
+    )
