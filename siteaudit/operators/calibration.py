@@ -44,7 +44,11 @@ def calibration_budgets(report: DataFrame, budgets: DataFrame) -> DataFrame:
 def nearest_rank(
     df: DataFrame, keys: Sequence[str], value: str, at: dict[str, float], limit: int = GROUP_ROWS
 ) -> DataFrame:
-    """Nearest-rank percentiles: the value at position ceil(p * n) of the sorted group."""
+    """Nearest-rank percentiles: the value at position ceil(p * n) of the sorted group.
+
+    NULLs have no rank on either side of ``limit``.
+    """
+    df = df.where(F.col(value).isNotNull())
     if largest_group(df, keys) <= limit:
         aggs = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(n) for n, p in at.items()]
         return df.groupBy(*keys).agg(*aggs)
@@ -86,7 +90,8 @@ def bench_gate(samples: DataFrame, key: str, value: str, gate_pct: float = 10.0)
 def interp_percentile(
     df: DataFrame, keys: Sequence[str], value: str, p: float, name: str, limit: int = GROUP_ROWS
 ) -> DataFrame:
-    """Linear interpolation between the two ranks around p * (n - 1)."""
+    """Linear interpolation between the two ranks around p * (n - 1); NULLs have no rank."""
+    df = df.where(F.col(value).isNotNull())
     if largest_group(df, keys) <= limit:
         return df.groupBy(*keys).agg(F.percentile(value, p).alias(name))
     slim = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_k"))
@@ -97,4 +102,4 @@ def interp_percentile(
     lo, hi = F.floor(at), F.ceil(at)
     g = t.groupBy(*keys).agg(pick(lo).alias("_lo"), pick(hi).alias("_hi"), F.max(at).alias("_at"))
     frac = F.col("_at") - F.floor("_at")
-    return g.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias(name))
+    return g.select(*keys, (F.col("_lo") * (1 - frac) + F.col("_hi") * frac).alias(name))

@@ -25,8 +25,8 @@ MIN_TARGET = 24
 FOCUS_CONTRAST = 3.0
 
 
-def contrast(elements: DataFrame) -> DataFrame:
-    """Adds ``verdict`` (NULL = fine) and ``ratio``.
+def judged_paint(elements: DataFrame) -> DataFrame:
+    """Adds ``verdict`` (NULL = fine) and ``ratio``, row by row.
 
     Reads painted, unresolved array<string>, foreground RGBA, layers array<RGBA> (front first),
     size, weight, disabled.
@@ -57,10 +57,15 @@ def contrast(elements: DataFrame) -> DataFrame:
 def paint_memo(elements: DataFrame) -> DataFrame:
     """Contrast on distinct paint signatures only, joined back to the elements."""
     sig = ["painted", "unresolved", "foreground", "layers", "size", "weight", "disabled"]
-    keyed = elements.withColumn("paint", F.xxhash64(*sig))
-    distinct = keyed.groupBy("paint").agg(*[F.any_value(c).alias(c) for c in sig])
-    done = contrast(distinct).select("paint", "ratio", "verdict")
-    return keyed.join(done, "paint").drop("paint")
+    keyed = elements.withColumn("_paint", F.struct(*sig))
+    distinct = keyed.select("_paint").distinct().select("_paint", "_paint.*")
+    done = judged_paint(distinct).select("_paint", "ratio", "verdict")
+    return keyed.join(done, "_paint").drop("_paint")
+
+
+def contrast(elements: DataFrame) -> DataFrame:
+    """Verdict and ratio of every element; each distinct paint is judged once."""
+    return paint_memo(elements)
 
 
 def _drift(elements: DataFrame, group: list[str], signature: list[str]) -> DataFrame:
@@ -158,9 +163,7 @@ def navigation_continuity(navs: DataFrame, group: list[str]) -> DataFrame:
     """
     d = F.col("destinations")
     ok = navs.where(
-        F.size(d).between(2, 32)
-        & (F.size(F.array_distinct(d)) == F.size(d))
-        & F.forall(d, lambda x: (x != "") & (F.length(x) <= 160))
+        (F.size(d) >= 2) & (F.size(F.array_distinct(d)) == F.size(d)) & F.forall(d, lambda x: x != "")
     )
     order, as_set = F.to_json(d), F.to_json(F.array_sort(d))
     return (

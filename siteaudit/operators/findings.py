@@ -33,10 +33,15 @@ def requires_resolution(status: Column) -> Column:
 
 
 def canonical(**cols: Column) -> Column:
-    """JSON object with sorted keys; callers pass no volatile key, doubles round to 6 places."""
+    """JSON object with sorted keys; callers pass no volatile key and doubles through ``number``."""
     return F.to_json(F.struct(*[cols[k].alias(k) for k in sorted(cols)]))
 
 
+def number(c: Column) -> Column:
+    """A measured value as an anchor holds it: six places, so noise gives no new finding."""
+    return F.round(c.cast("double"), 6)
+
+
 def source_anchor(path: Column, line: Column, column: Column, start: Column, end: Column):
     return canonical(path=path, line=line, column=column, start=start, end=end)
 
@@ -50,12 +55,13 @@ def fingerprint(
 ) -> Column:
     """Content address: detector, three anchors and evidence, nothing volatile."""
     none = F.lit("{}")
+    quoted = F.coalesce(F.to_json(F.array(detector.cast("string"))), F.lit("[null]"))
     body = F.concat(
         F.lit('{"contract_anchor":'),
         contract if contract is not None else none,
-        F.lit(',"detector_id":"'),
-        detector,
-        F.lit('","evidence":'),
+        F.lit(',"detector_id":'),
+        F.substr(quoted, F.lit(2), F.length(quoted) - 2),
+        F.lit(',"evidence":'),
         evidence if evidence is not None else none,
         F.lit(',"runtime_anchor":'),
         runtime if runtime is not None else none,
@@ -199,7 +205,7 @@ def diff_key(path: Column, issue: Column, line: Column, column: Column) -> Colum
             F.coalesce(column.cast("string"), F.lit("None")),
         ),
     ).otherwise("")
-    return F.concat(path, F.lit("::"), F.substring(issue, 1, 120), F.lit("::"), where)
+    return F.concat(path, F.lit("::"), F.sha2(issue, 256), F.lit("::"), where)
 
 
 def finding_diff(baseline: DataFrame, fresh: DataFrame, key: str = "key") -> DataFrame:

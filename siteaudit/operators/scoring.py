@@ -16,20 +16,28 @@ DETERMINISTIC = ["contract", "runtime", "static"]
 
 
 def score_snapshot(
-    findings: DataFrame, keys: list[str], coverage: Column, review: Column | None = None
+    findings: DataFrame,
+    keys: list[str],
+    coverage: Column,
+    review: Column | None = None,
+    subjects: DataFrame | None = None,
 ) -> DataFrame:
     """Slop, objective and blended score per key.
 
-    ``coverage`` (0..1) and ``review`` (0..100 or NULL) are expressions constant per key.
+    ``coverage`` (0..1) and ``review`` (0..100 or NULL) are expressions constant per key. With
+    ``subjects``, what was scanned, they are read there and a subject without findings has a row.
     Rounding is half-even, as in the source of the formula.
     """
     live = requires_resolution(F.col("status"))
     weight = choose(F.col("severity"), WEIGHTS, 10.0) * F.col("confidence")
     review = review if review is not None else F.lit(None).cast("double")
-    g = findings.groupBy(*keys).agg(
-        F.bround(F.coalesce(F.sum(F.when(live, weight)), F.lit(0.0)), 2).alias("slop"),
+    constant = [
         F.max(F.least(F.greatest(coverage, F.lit(0.0)), F.lit(1.0))).alias("coverage"),
         F.max(review).alias("review"),
+    ]
+    g = findings.groupBy(*keys).agg(
+        F.bround(F.coalesce(F.sum(F.when(live, weight)), F.lit(0.0)), 2).alias("slop"),
+        *(constant if subjects is None else []),
         F.coalesce(
             F.bool_or(
                 live
@@ -40,6 +48,9 @@ def score_snapshot(
         ).alias("critical_pending"),
         F.count_if(live).alias("pending"),
     )
+    if subjects is not None:
+        g = subjects.groupBy(*keys).agg(*constant).join(g, keys, "left")
+        g = g.na.fill({"slop": 0.0, "critical_pending": False, "pending": 0})
     objective = F.greatest(
         F.lit(0), F.least(F.lit(100), F.bround(100 * F.col("coverage") - F.col("slop")))
     ).cast("int")

@@ -21,10 +21,29 @@ ROOT_MARKERS = [
         "requirements.txt setup.py setup.cfg"
     ).split(),
 ]
-BACKEND_MARKERS = (
-    "@controller @app. @router. @bp. fastapi( apirouter( flask( blueprint( express( fastify "
-    ".route( app.get( app.post( app.put( app.patch( app.delete( router.get( router.post("
-).split()
+BACKEND_MARKERS = [
+    "@controller",
+    "@app.",
+    "@router.",
+    "@bp.",
+    "fastapi(",
+    "apirouter(",
+    "flask(",
+    "blueprint(",
+    "express(",
+    "fastify",
+    ".route(",
+    "app.get(",
+    "app.post(",
+    "app.put(",
+    "app.patch(",
+    "app.delete(",
+    "router.get(",
+    "router.post(",
+    "router.put(",
+    "router.patch(",
+    "router.delete(",
+]
 TEST_DIRS = ["__tests__", "e2e", "test", "tests"]
 
 

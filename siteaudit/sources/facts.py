@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,8 +69,28 @@ def join_routes(*parts: Column) -> Column:
     )
 
 
+# What makes a receiver a router or an application.
+CREATED = (
+    r"""(?s)\b([A-Za-z_$][\w$]*)\s*=\s*(?:await\s+)?(?:new\s+)?(?:[A-Za-z_$][\w$]*\.)?"""
+    r"""(?:FastAPI|APIRouter|Flask|Blueprint|express|Router|fastify|Fastify|Hono)\s*\("""
+)
+HOST = r"""(?s)\b([A-Za-z_$][\w$]*)\.(?:include_router|register_blueprint|use)\("""
+
+
+def routers(sources: DataFrame) -> DataFrame:
+    """(path, receiver) of the names that a file creates, mounts or mounts others on as routers."""
+    found = [
+        _rows(sources, ["path"], receiver=_all("content", pattern, group))
+        for pattern, group in ((CREATED, 1), (HOST, 1), (MOUNT, 2), (INCLUDE, 1))
+    ]
+    return reduce(lambda a, b: a.unionByName(b), [f.select("path", "receiver") for f in found]).distinct()
+
+
 def route_declarations(sources: DataFrame) -> DataFrame:
-    """Route decorators and router calls with the prefix of their receiver joined in."""
+    """Route decorators and router calls with the prefix of their receiver joined in.
+
+    A call on a name that is no router of its file, such as a client's, declares nothing.
+    """
     out = []
     for ext, pattern in (("py", PY_VERB), ("js", JS_VERB)):
         s = sources.where(F.col("ext") == ext if ext == "py" else F.col("ext").isin("js", "ts"))
@@ -81,7 +103,7 @@ def route_declarations(sources: DataFrame) -> DataFrame:
                 route=_all("content", pattern, 3),
             )
         )
-    calls = out[0].unionByName(out[1])
+    calls = out[0].unionByName(out[1]).join(routers(sources), ["path", "receiver"], "left_semi")
 
     def prefixes(pattern: str, who: int, what: int, name: str) -> DataFrame:
         df = _rows(
@@ -273,21 +295,24 @@ BOUNDARY = (
 )
 
 
-def responsive_boundaries(sources: DataFrame, budget: int = 8) -> DataFrame:
-    """Breakpoint widths with kinds and source counts, evenly sampled down to ``budget``.
-
-    Widths lie in 240..2560, so everything after the first aggregate is bounded.
-    """
+def responsive_boundaries(sources: DataFrame) -> DataFrame:
+    """All breakpoint widths in 240..2560, with kinds and source counts."""
     hits = _rows(
         sources, ["path"], kind=_all("content", BOUNDARY, 1), width=_all("content", BOUNDARY, 2)
     )
     hits = hits.withColumn("width", F.col("width").cast("int")).where("width BETWEEN 240 AND 2560")
-    by_width = hits.groupBy("width").agg(
+    return hits.groupBy("width").agg(
         F.array_join(F.array_sort(F.collect_set(F.lower("kind"))), "-").alias("kinds"),
         F.count_distinct("path").alias("sources"),
     )
-    # At most 2,321 widths reach these windows.
-    ranked = by_width.withColumns(
+
+
+def evenly_sampled(boundaries: DataFrame, budget: int = 8) -> DataFrame:
+    """``budget`` of the boundaries, spread evenly over their order: a sampling operator.
+
+    At most 2,321 widths reach these windows.
+    """
+    ranked = boundaries.withColumns(
         {
             "i": F.row_number().over(Window.orderBy("width")) - 1,
             "n": F.count(F.lit(1)).over(Window.partitionBy()),

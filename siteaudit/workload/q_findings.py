@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteaudit.operators import calibration, findings as fin, rule_scan, scoring
-from siteaudit.workload.derive import FINDINGS, duck, table, view
+from siteaudit.workload.derive import FINDINGS, PAGES, duck, table, view
 from siteaudit.workload.q_rules import PAGE_COUNTS, pages
 from siteaudit.workload.registry import query
 
@@ -35,11 +35,13 @@ def n_by(df, *keys):
  FROM c GROUP BY path)
 SELECT path, slop, CAST(greatest(0, least(100, round_even(100 - slop, 0))) AS INT) AS objective,
  CAST(greatest(0, least(100, round_even(100 - slop, 0))) AS INT) AS blended,
- CAST(pending AS BIGINT) AS pending FROM t""",
+ CAST(pending AS BIGINT) AS pending FROM (SELECT p.path, coalesce(slop, 0) AS slop, coalesce(pending, 0) AS
+ pending FROM (SELECT DISTINCT path FROM {duck(PAGES)}) p LEFT JOIN t USING (path))""",
 )
 def _(spark, d):
-    f = rule_scan.rule_scan(pages(spark, d), exts=["html"])
-    s = scoring.score_snapshot(f, ["path"], F.lit(1.0))
+    scanned = pages(spark, d)
+    f = rule_scan.rule_scan(scanned, exts=["html"])
+    s = scoring.score_snapshot(f, ["path"], F.lit(1.0), subjects=scanned)
     return s.select("path", "slop", "objective", "blended", "pending")
 
 
@@ -54,11 +56,11 @@ SELECT site, slop, objective, critical_pending, CAST(CASE WHEN critical_pending
    max(CASE WHEN site % 2 = 0 THEN 40.0 + site % 50 END) AS review,
    bool_or({LIVE} AND severity = 'critical' AND provenance IN ('contract', 'runtime', 'static'))
     AS critical_pending
-  FROM {FX} WHERE okey % 977 < 3 GROUP BY site)))"""
+  FROM (SELECT * REPLACE (okey AS site) FROM {FX}) GROUP BY site)))"""
 
 
 def _blend(spark, d):
-    f = fx(spark, d).where("okey % 977 < 3")
+    f = fx(spark, d).withColumn("site", F.col("okey"))
     return scoring.score_snapshot(
         f,
         ["site"],
@@ -227,7 +229,7 @@ def _(spark, d):
     )
 
 
-_KEY = "path || '::' || left(message, 120) || '::' || line || ':' || col"
+_KEY = "path || '::' || sha256(message) || '::' || line || ':' || col"
 
 
 def _keyed(f):
@@ -429,8 +431,8 @@ def _(spark, d):
 
 @query(
     "eligibility",
-    f"""WITH s AS ({_BLEND}), p AS (SELECT site, count(*) FILTER (WHERE {LIVE}) AS pending FROM {FX}
-  WHERE okey % 977 < 3 GROUP BY site), x AS (SELECT s.*, pending FROM s JOIN p USING (site))
+    f"""WITH s AS ({_BLEND}), p AS (SELECT site, count(*) FILTER (WHERE {LIVE}) AS pending FROM
+  (SELECT * REPLACE (okey AS site) FROM {FX}) GROUP BY site), x AS (SELECT s.*, pending FROM s JOIN p USING (site))
  SELECT site, blocker FROM (SELECT site, unnest([CASE WHEN pending > 0 THEN 'pending_findings' END,
  CASE WHEN blended < 70 THEN 'target_score' END,
  CASE WHEN 0.5 + site % 3 * 0.25 < 1 THEN 'incomplete_qualification' END,

@@ -255,7 +255,7 @@ _FACTS = f"""
 SELECT CASE l_linenumber % 3 WHEN 0 THEN 'component' WHEN 1 THEN 'action' ELSE 'token' END AS kind, 'f' ||
  {S('l_partkey')} AS file, 'x' || {S('l_suppkey')} AS name, 0 AS ordinal, 'declares' AS relation FROM {{lineitem}}
 """
-_NID = "{0} || ':' || left(sha1({0} || chr(0) || file || chr(0) || {1} || chr(0) || '0'), 12)"
+_NID = "{0} || ':' || sha1({0} || chr(0) || file || chr(0) || {1} || chr(0) || '0')"
 
 
 @query(
@@ -333,10 +333,7 @@ SELECT 's' || {S('l_suppkey')} AS site, CASE l_linenumber WHEN 1 THEN 'route' WH
 
 @query(
     "preserve_contracts",
-    f"""SELECT DISTINCT site, CASE kind WHEN 'route' THEN 'Route remains reachable: ' || name WHEN 'data' THEN
- 'Data contract remains functional: ' || name WHEN 'action' THEN 'Interaction capability remains available: ' || name WHEN 'state'
- THEN 'User-visible state remains represented: ' || name ELSE
- 'Form semantics, validation, and submission behavior remain functional.' END AS contract FROM {duck(_CNODES)} WHERE kind IN
+    f"""SELECT DISTINCT site, kind || ':' || name AS contract FROM {duck(_CNODES)} WHERE kind IN
  ('route', 'data', 'action', 'state') OR (kind = 'region' AND name = 'form')""",
 )
 def _(spark, d):
@@ -567,8 +564,8 @@ def _(spark, d):
 
 @query(
     "contract_blockers",
-    f"""SELECT DISTINCT CASE o_orderkey % 4 WHEN 0 THEN 'Add or remap the missing backend operation' WHEN 1 THEN
- 'Align the frontend and backend HTTP methods' ELSE 'Resolve contract lineage' END || ': ' || CASE WHEN o_custkey % 9 = 0 THEN
+    f"""SELECT DISTINCT CASE o_orderkey % 4 WHEN 0 THEN 'No server operation answers this call' WHEN 1 THEN
+ 'Screen and server use different methods' ELSE 'Contract differs' END || ': ' || CASE WHEN o_custkey % 9 = 0 THEN
  'unknown path' ELSE '/p' || o_custkey % 50 END || '.' AS blocker FROM orders WHERE o_orderkey % 4 <> 3""",
 )
 def _(spark, d):

@@ -101,11 +101,16 @@ SELECT CASE c_custkey % 5 WHEN 0 THEN 'tests/' WHEN 1 THEN 'api/' ELSE 'svc/' EN
 """
 
 
+_MARKS = """'@controller', '@app.', '@router.', '@bp.', 'fastapi(', 'apirouter(', 'flask(', 'blueprint(', 'express(',
+ 'fastify', '.route(', 'app.get(', 'app.post(', 'app.put(', 'app.patch(', 'app.delete(', 'router.get(', 'router.post(',
+ 'router.put(', 'router.patch(', 'router.delete('"""
+
+
 @query(
     "backend_manifest",
     f"""SELECT path, sha256(content) AS sha256 FROM {duck(_CODE)} WHERE k % 3 <> 0 AND NOT starts_with(path,
- 'tests/') AND NOT contains(path, '/test_') AND (contains(lower(content), '@router.') OR contains(lower(
- content), '@app.') OR contains(lower(content), 'apirouter('))""",
+ 'tests/') AND NOT contains(path, '/test_') AND len(list_filter([{_MARKS}],
+ lambda m: contains(lower(content), m))) > 0""",
 )
 def _(spark, d):
     return src.backend_manifest(view(spark, d, _CODE))
@@ -119,7 +124,7 @@ def _(spark, d):
  3 <> 0""",
 )
 def _(spark, d):
-    return facts.route_declarations(view(spark, d, _CODE)).where("NOT route LIKE '/u/%'")
+    return facts.route_declarations(view(spark, d, _CODE))
 
 
 @query(
@@ -189,9 +194,7 @@ SELECT 's' || {S('o_orderkey')} AS path, '@media (min-width: ' || {S('o_custkey
     "viewport_probes",
     f"""WITH h AS (SELECT path, w AS width, 'media' AS kind FROM {duck(_WIDTHS)} UNION ALL SELECT path, v,
  'container' FROM {duck(_WIDTHS)}), g AS (SELECT width, string_agg(DISTINCT kind, '-' ORDER BY kind) AS kinds
- FROM h WHERE width BETWEEN 240 AND 2560 GROUP BY width), r AS (SELECT *, row_number() OVER (ORDER BY width) -
- 1 AS i, count(*) OVER () AS n FROM g), s AS (SELECT * FROM r WHERE n <= 8 OR i IN (SELECT round_even(k * (n -
- 1) / 7, 0) FROM range(8) t(k))), p AS (SELECT width, kinds, unnest(['below', 'above']) AS relation,
+ FROM h WHERE width BETWEEN 240 AND 2560 GROUP BY width), s AS (SELECT * FROM g), p AS (SELECT width, kinds, unnest(['below', 'above']) AS relation,
  unnest([width - 1, width + 1]) AS probe FROM s) SELECT * FROM p WHERE probe BETWEEN 240 AND 2560""",
 )
 def _(spark, d):

@@ -167,3 +167,26 @@ def test_stream_queue_drops_repeats(spark, tmp_path):
          .option("checkpointLocation", str(tmp_path / "c")).start())
     q.awaitTermination()
     assert spark.table("dd").count() == 5
+
+
+def test_fingerprint_escapes_the_detector_and_keeps_null(spark):
+    import hashlib
+    import json
+
+    df = spark.createDataFrame([('a"b\\',), (None,)], "d string")
+    got = [r[0] for r in df.select(fin.fingerprint(F.col("d"))).collect()]
+    for d, fp in zip(['a"b\\', None], got, strict=True):
+        body = {"contract_anchor": {}, "detector_id": d, "evidence": {}, "runtime_anchor": {}, "source_anchor": {}}
+        assert fp == hashlib.sha256(json.dumps(body, separators=(",", ":")).encode()).hexdigest()
+
+
+def test_number_hides_noise(spark):
+    one = spark.sql("SELECT 1.0D AS a, 1.0000001D AS b")
+    r = one.select(fin.canonical(m=fin.number(F.col("a"))), fin.canonical(m=fin.number(F.col("b")))).first()
+    assert r[0] == r[1]
+
+
+def test_issues_with_one_prefix_keep_apart(spark):
+    df = spark.createDataFrame([("p", "x" * 130 + "1"), ("p", "x" * 130 + "2")], "p string, i string")
+    none = F.lit(None).cast("int")
+    assert df.select(fin.diff_key(F.col("p"), F.col("i"), none, none)).distinct().count() == 2

@@ -162,3 +162,18 @@ def test_capped_log_keeps_newest(spark):
     got = sorted((r.kind, r.seq) for r in scoring.capped_log(df, 3).collect())
     assert got == [("a", 6), ("a", 7), ("a", 8), ("b", 1)]
     assert df.withColumn("x", F.row_number().over(Window.partitionBy("kind").orderBy("seq"))).count() == 10
+
+
+def test_percentiles_ignore_nulls_on_both_sides_of_the_limit(spark):
+    from siteaudit.operators.calibration import interp_percentile, nearest_rank
+
+    rows = [("a", float(i)) for i in range(10)] + [("a", None)] * 10
+    df = spark.createDataFrame(rows, "k string, v double")
+    near = {
+        limit: nearest_rank(df, ["k"], "v", {"p90": 0.9}, limit).first()["p90"] for limit in (1, 1000)
+    }
+    between = {
+        limit: interp_percentile(df, ["k"], "v", 0.9, "p", limit).first()["p"] for limit in (1, 1000)
+    }
+    assert near == {1: 8.0, 1000: 8.0}
+    assert {k: round(v, 9) for k, v in between.items()} == {1: 8.1, 1000: 8.1}
