@@ -95,7 +95,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Dat
     """(documents as sequences, starts of later copies, the copies' first texts)."""
     made = cut(lines(docs, min_words))
     order = cut(
-        made.select("doc_id", "t", F.size("a").alias("n_lines"))
+        made.select("doc_id", "t")
+        .distinct()
         .repartitionByRange(F.col("doc_id").asc_nulls_last(), "t")
         .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "t")
         .withColumn("seq", F.monotonically_increasing_id())
@@ -162,12 +163,16 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the deleted lines taken out of ``text``, and n_lines and n_deleted added.
+    """``docs`` with the deleted lines taken out of ``text``, and n_lines and n_deleted added
+    (columns of these names are replaced).
 
     A copy of a whole earlier text loses the lines that lie in runs of ``min_words`` words.
     """
+    docs = docs.drop("n_lines", "n_deleted")
     names = docs.columns
-    gone = deletions(docs, min_words).withColumnsRenamed({"doc_id": "_doc", "t": "_t"})
+    gone = deletions(docs, min_words).withColumnsRenamed(
+        {"doc_id": "_doc", "t": "_t", "gone": "_gone", "copy": "_copy"}
+    )
     joined = docs.withColumn("_key", F.md5("text")).join(
         gone, F.expr("_key = _t AND cast(doc_id AS long) <=> _doc"), "left"
     )
@@ -194,7 +199,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             )
 
     out = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_deleted", T.LongType())])
-    return joined.select(*names, "gone", "copy").mapInArrow(run, out)
+    return joined.select(*names, "_gone", "_copy").mapInArrow(run, out)
 
 
 def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
