@@ -370,6 +370,15 @@ def evidence_state_diff(axis: str, front: Column, back: Column) -> Column:
     )
 
 
+def evidence_diff(pairs: DataFrame, axes: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """The first axis, in the order given, on which the evidence states of a pair differ.
+
+    States are columns of the pair, so no axis costs a join.
+    """
+    kind = F.coalesce(*(evidence_state_diff(a, front, back) for a, (front, back) in axes.items()))
+    return pairs.select("front_op", "back_op", kind.alias("kind"), F.lit("").alias("field")).where("kind IS NOT NULL")
+
+
 def first_difference(pairs: DataFrame, by_priority: list[DataFrame]) -> DataFrame:
     """The first of several difference tables that has a row for the pair."""
     out = None

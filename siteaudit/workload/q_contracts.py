@@ -302,25 +302,32 @@ def _(spark, d):
     return ct.ui_lifecycle(_ui_ops(spark, d)).select("op_id", "kind", "missing")
 
 
-_STATE = "CASE {0} % 19 WHEN 0 THEN 'unknown' WHEN 1 THEN 'contradictory' WHEN 2 THEN 'absent' ELSE 'present' END"
+# Evidence axes after transport and schemas, in order, and what their test states derive from.
+_AXES = {
+    "auth": 19,
+    "authorization": 23,
+    "tenant": 29,
+    "error_envelope": 31,
+    "status_set": 37,
+    "cache_invalidation": 41,
+}
+_STATE = "CASE {0} % {1} WHEN 0 THEN 'unknown' WHEN 1 THEN 'contradictory' WHEN 2 THEN 'absent' ELSE 'present' END"
 
 
 def _state_sql(axis: str) -> str:
-    f, b = _STATE.format("fk"), _STATE.format("bk")
+    f, b = _STATE.format("fk", _AXES[axis]), _STATE.format("bk", _AXES[axis])
     return f"""CASE WHEN {f} = 'contradictory' OR {b} = 'contradictory' THEN '{axis}_evidence_contradictory'
  WHEN {f} = 'unknown' OR {b} = 'unknown' THEN '{axis}_evidence_unknown' WHEN {f} <> {b} THEN
  '{axis}_mismatch' END"""
 
 
+def _state_diff(p, axes):
+    k = lambda c, m: F.expr(_STATE.format(f"CAST(substr({c}, 2) AS BIGINT)", m))
+    return ct.evidence_diff(p, {a: (k("front_op", _AXES[a]), k("back_op", _AXES[a])) for a in axes})
+
+
 def _auth_diff(spark, d):
-    k = lambda c: F.expr(_STATE.format(f"CAST(substr({c}, 2) AS BIGINT)"))
-    p = _pairs(spark, d)
-    return p.select(
-        "front_op",
-        "back_op",
-        ct.evidence_state_diff("auth", k("front_op"), k("back_op")).alias("kind"),
-        F.lit("").alias("field"),
-    ).where("kind IS NOT NULL")
+    return _state_diff(_pairs(spark, d), ["auth"])
 
 
 @query(
@@ -334,7 +341,7 @@ def _(spark, d):
 
 @query(
     "first_difference",
-    f"""WITH t AS ({_TRANSPORT}), s AS ({_SCHEMA}), a AS (SELECT front_op, back_op, {_state_sql('auth')} AS
+    f"""WITH t AS ({_TRANSPORT}), s AS ({_SCHEMA}), a AS (SELECT front_op, back_op, coalesce({", ".join(map(_state_sql, _AXES))}) AS
  kind FROM {_PX}) SELECT front_op, back_op, coalesce(t.kind, s.kind, a.kind) AS kind, CASE WHEN t.kind IS
  NOT NULL THEN t.field WHEN s.kind IS NOT NULL THEN s.field ELSE '' END AS field FROM a LEFT JOIN t USING
  (front_op, back_op) LEFT JOIN s USING (front_op, back_op) WHERE coalesce(t.kind, s.kind, a.kind) IS NOT
@@ -347,7 +354,7 @@ def _(spark, d):
         [
             ct.transport_diff(p, view(spark, d, _PARAMS), view(spark, d, _MEDIA)),
             ct.schema_diff(p, view(spark, d, _FIELDS), "response"),
-            _auth_diff(spark, d),
+            _state_diff(p, _AXES),
         ],
     )
 
