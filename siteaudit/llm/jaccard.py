@@ -42,8 +42,7 @@ SIZE = 5
 KEYS = 32
 DIMS = 64
 LEAF = 32
-BLOCK = 600  # sets that share a key before the key is split
-CHUNK = 12_000  # sets that meet in one task
+BLOCK = CHUNK = 16_000  # sets that meet in one task: beyond, a key is split, then dealt into chunks
 CLASS_SHINGLES = 3_000_000
 
 
