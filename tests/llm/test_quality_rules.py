@@ -28,7 +28,8 @@ def brute(text):
 
 def prose(rng, n, junk=""):
     voc = [a + b for a in ("ther", "on", "an", "er", "st") for b in ("ing", "ed", "ly", "ion", "ou", "re")]
-    return " ".join(rng.choice(["the", "of", "and", "in", rng.choice(voc), rng.choice(voc)]) + junk for _ in range(n)) + "."
+    pick = lambda: rng.choice(voc) + rng.choice(voc) + rng.choice(voc)
+    return " ".join(rng.choice(["the", "of", "and", "in", pick(), pick(), pick()]) + junk for _ in range(n)) + "."
 
 
 def test_base_counts(spark):
