@@ -1,8 +1,9 @@
 """Format-preserving pseudonyms by keyed Feistel networks, in DataFrame functions alone.
 
 Candidates are found by one pattern and validated: card numbers by their check digit, IBANs by
-their remainder, IPv4 addresses by their bytes, phone and social security numbers by the ranges
-of their parts, dates by the calendar. A valid value is permuted within its format, so it stays
+their remainder, IPv4 addresses by their bytes, social security numbers and phone numbers without
+country code and bracketed area by the ranges of their parts, dates by the calendar; a phone
+number with either of them is one whatever its digits. A valid value is permuted within its format, so it stays
 valid, equal values get equal pseudonyms in every document, and the key's holder can undo it.
 
 Two networks are used. Numbers that live in a range A * B keep two halves (a, b) and add a keyed
@@ -179,18 +180,41 @@ def _ip(m: Column, key: str) -> Column:
     return F.when(F.forall(p, lambda x: x < 256), made)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of the value, which is worked out once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _phone(m: Column, key: str) -> Column:
-    d = F.regexp_replace(F.regexp_replace(m, r"^\+1", ""), "[^0-9]", "")
-    area, office, line = (F.substr(d, F.lit(s), F.lit(n)).cast("int") for s, n in ((1, 3), (4, 3), (7, 4)))
-    new = permuted(area - 200, (office - 200) * 10000 + line, 800, 8_000_000, key, "phone")
-    made = F.concat(
-        (new["a"] + 200).cast("string"),
-        (F.floor(new["b"] / 10000) + 200).cast("string"),
-        F.lpad((new["b"] % 10000).cast("string"), 4, "0"),
-    )
-    lead = F.regexp_extract(m, r"^(\+1)?", 0)
-    rest = F.substr(m, F.length(lead) + 1, F.length(m))
-    return F.when((area >= 200) & (office >= 200), F.concat(lead, _laid(made, rest)))
+    def parts(d):
+        return F.struct(
+            *(F.substr(d, F.lit(s), F.lit(n)).cast("int").alias(x) for x, s, n in (("a", 1, 3), ("o", 4, 3), ("l", 7, 4)))
+        )
+
+    def moved(p):
+        # Three classes of numbers, each permuted within itself, so the whole stays one to one.
+        low, narrow = p["a"] < 200, (p["a"] >= 200) & (p["o"] >= 200)
+        a, b = p["a"] - 200, p["o"] * 10000 + p["l"]
+        new = (
+            F.when(low, permuted(p["a"], b, 200, 10_000_000, key, "phone area"))
+            .when(narrow, permuted(a, b - 2_000_000, 800, 8_000_000, key, "phone"))
+            .otherwise(permuted(a, b, 800, 2_000_000, key, "phone office"))
+        )
+        made = _let(
+            new,
+            lambda x: F.concat(
+                F.lpad((x["a"] + F.when(low, 0).otherwise(200)).cast("string"), 3, "0"),
+                F.lpad((x["b"] + F.when(narrow, 2_000_000).otherwise(0)).cast("string"), 7, "0"),
+            ),
+        )
+        lead = F.regexp_extract(m, r"^(\+1)?", 0)
+        rest = F.substr(m, F.length(lead) + 1, F.length(m))
+        # Without country code and brackets, only the ranges tell a phone number from other digits.
+        full = m.startswith("+") | m.startswith("(")
+        return F.when(narrow | full, F.concat(lead, _let(made, lambda x: _laid(x, rest))))
+
+    digits = F.regexp_replace(F.regexp_replace(m, r"^\+1", ""), "[^0-9]", "")
+    return _let(_let(digits, parts), moved)
 
 
 def _ssn(m: Column, key: str) -> Column:

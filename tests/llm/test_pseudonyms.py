@@ -67,3 +67,14 @@ def test_long_text_and_no_rows(spark):
     got = run(spark, ["word " * 200_000 + "108.51.216.133 " * 3000])
     assert len(got[0]["kinds"]) == 3000 and len(set(got[0]["pseudonyms"])) == 1
     assert p.pseudonymised(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_full_phones_of_every_area(spark):
+    full = [f"+1 ({a:03d}) 555-7713" for a in range(200)] + ["(017) 555-7713", "+1 017-555-7713", "+1 (988) 055-2485"]
+    got = run(spark, full + [f"+1 ({a:03d}) {o:03d}-0001" for a in (0, 199, 200, 999) for o in range(1000)])
+    assert all(r["kinds"] == ["phone"] for r in got.values())
+    assert all(got[i]["text"] != t and re.sub("[0-9]", "9", got[i]["text"][2:]) == re.sub("[0-9]", "9", t[2:]) for i, t in enumerate(full))
+    assert len({re.sub(r"\D", "", r["text"]) for i, r in got.items() if i < 200 or i >= 203}) == 4200
+    digits = {re.sub(r"\D", "", got[i]["text"])[-10:] for i in (17, 200, 201)}
+    assert len(digits) == 1 and digits != {"0175557713"}
+    assert run(spark, ["012-345-6789 and 988 155 2485"])[0]["kinds"] == []
