@@ -85,19 +85,14 @@ def manual_id(path: Column, issue: Column, fix: Column) -> Column:
 
 
 def evidence_policy(df: DataFrame) -> DataFrame:
-    """Bound basis, authority, applicability (map) and constraints (array)."""
-    basis = F.lower(F.substring(F.trim(F.coalesce("basis", F.lit(""))), 1, 32))
+    """Known basis, well-formed authority, applicability (map) and constraints (array) trimmed and whole."""
+    basis = F.lower(F.trim(F.coalesce("basis", F.lit(""))))
     authority = F.trim(F.coalesce("authority", F.lit("")))
-    text = lambda c, n: F.substring(F.trim(c), 1, n)
-    kept = F.filter(
-        F.transform("remediation_constraints", lambda c: text(c, 500)), lambda c: c != ""
-    )
+    kept = F.filter(F.transform("remediation_constraints", lambda c: F.trim(c)), lambda c: c != "")
     pairs = F.filter(
         F.transform(
             F.map_entries("applicability"),
-            lambda e: F.struct(
-                text(e["key"], 80).alias("key"), text(e["value"], 500).alias("value")
-            ),
+            lambda e: F.struct(F.trim(e["key"]).alias("key"), F.trim(e["value"]).alias("value")),
         ),
         lambda e: e["key"] != "",
     )
@@ -109,8 +104,8 @@ def evidence_policy(df: DataFrame) -> DataFrame:
                 & authority.rlike(r"^[A-Za-z0-9][A-Za-z0-9 .:/_@#()-]*$"),
                 authority,
             ).otherwise(""),
-            "remediation_constraints": F.slice(kept, 1, 12),
-            "applicability": F.map_from_entries(F.slice(pairs, 1, 24)),
+            "remediation_constraints": kept,
+            "applicability": F.map_from_entries(pairs),
         }
     )
 

@@ -190,3 +190,14 @@ def test_issues_with_one_prefix_keep_apart(spark):
     df = spark.createDataFrame([("p", "x" * 130 + "1"), ("p", "x" * 130 + "2")], "p string, i string")
     none = F.lit(None).cast("int")
     assert df.select(fin.diff_key(F.col("p"), F.col("i"), none, none)).distinct().count() == 2
+
+
+def test_evidence_policy_keeps_whole_values(spark):
+    many = [f"keep {i} " + "x" * 600 for i in range(40)]
+    pairs = {f"{i} " + "k" * 100: "v" * 600 for i in range(40)}
+    df = spark.createDataFrame(
+        [("measured", "WCAG", [*many, " "], pairs)],
+        "basis string, authority string, remediation_constraints array<string>, applicability map<string,string>",
+    )
+    r = fin.evidence_policy(df).first()
+    assert r["basis"] == "measured" and r["remediation_constraints"] == many and r["applicability"] == pairs
