@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
 from siteaudit.llm import (
+    chat_format,
     decontaminate,
     divergence,
     jaccard,
     licences,
     line_dedup,
+    max_sketches,
     packing,
+    prefix_trie,
     pseudonyms,
     quality,
     sharding,
@@ -183,3 +186,122 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         "n_toxic",
         "spans",
     )
+
+
+@query(
+    "op11_prefix_trie",
+    r"""
+    WITH RECURSIVE bits(v, k, c) AS (
+      SELECT v, 0, v::UBIGINT FROM range(256) t(v)
+      UNION ALL
+      SELECT v, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END
+      FROM bits WHERE k < 8),
+    crc AS (SELECT list(c ORDER BY v) AS t FROM bits WHERE k = 8),
+    o AS (
+      SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST,
+        left(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32)) AS w
+      FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    h AS (
+      SELECT conv_id, w, xor(list_reduce(
+          list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT),
+          lambda a, x: xor(a >> 8, crc.t[((xor(a, x) & 255) + 1)::BIGINT]), 4294967295::UBIGINT),
+        4294967295::UBIGINT) % 6 AS h
+      FROM o, crc),
+    b AS (
+      SELECT c.conv_id, list_concat(list_slice(coalesce(p.w, []), 1, c.h::BIGINT), list_slice(c.w, c.h::BIGINT + 1, len(c.w))) AS w
+      FROM h c LEFT JOIN o p ON p.conv_id = c.conv_id - c.conv_id % 100),
+    pre AS (SELECT conv_id, len(w) AS n, d, list_slice(w, 1, d) AS p
+      FROM (SELECT *, unnest(range(0, len(w) + 1)) AS d FROM b)),
+    node AS (
+      SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+        coalesce(length(p[d].t), 0) AS chars,
+        sha256(coalesce(string_agg(CASE WHEN n = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+      FROM pre GROUP BY p, d),
+    kids AS (SELECT list_slice(p, 1, d - 1) AS p, d - 1 AS d, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1, 2),
+    full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (p, d)),
+    up AS (
+      SELECT list_slice(p, 1, k) AS p, k AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+        sum((n_convs - 1) * chars) AS saved_tokens
+      FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM full_node) GROUP BY 1, 2)
+    SELECT f.conv_id, f.d::BIGINT AS depth, a.conv_id AS parent_conv_id, f.n_convs, f.n_children,
+      u.n_leaves::BIGINT AS n_leaves, u.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+    FROM full_node f JOIN up u USING (p, d)
+    LEFT JOIN node a ON f.d > 0 AND a.d = f.d - 1 AND a.p = list_slice(f.p, 1, f.d - 1)
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(read(spark, folder, "conversations")))
+
+
+@query(
+    "op12_max_sketches",
+    r"""
+    WITH d AS (
+      SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+    i AS (
+      SELECT item_id, row_number() OVER () AS q, unnest(regexp_extract_all(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark WHERE text IS NOT NULL),
+    it AS (SELECT q, any_value(item_id) AS item_id, t, count(*) AS c FROM i GROUP BY q, t),
+    s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+    tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+    df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+    m AS (SELECT r, doc_id, 25 + (75 * len(w)::BIGINT * n_docs) // n_terms AS m FROM d, s WHERE len(w) > 0),
+    sc AS (
+      SELECT q, any_value(item_id) AS item_id, m.doc_id, m.r,
+        sum(c * floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+          * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM it JOIN df USING (t) JOIN tf USING (t) JOIN m USING (r), s GROUP BY q, m.r, m.doc_id)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+      SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM sc WHERE score > 0)
+    WHERE rank <= 10
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return max_sketches.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+def _escaped_sql(column: str) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for c in chat_format.INST.controls:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+@query(
+    "op13_chat_format",
+    f"""
+    WITH c AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+      UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    t AS (
+      SELECT *, length({_escaped_sql("text")}) + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 16
+        WHEN 'assistant' THEN 10 ELSE 25 + length({_escaped_sql("role")}) END AS chars,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM c),
+    move(state, role, next) AS (VALUES ('start', 'system', 'system'), ('start', 'user', 'user'),
+      ('system', 'user', 'user'), ('user', 'assistant', 'assistant'), ('assistant', 'user', 'user')),
+    wrong AS (
+      SELECT a.conv_id, min(a.n) - 1 AS wrong_at FROM t a
+      LEFT JOIN t b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.n = a.n - 1
+      LEFT JOIN move m ON m.role = a.role AND m.state = CASE WHEN a.n = 1 THEN 'start' ELSE b.role END
+      WHERE m.next IS NULL GROUP BY a.conv_id)
+    SELECT t.conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+      coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY n), '')) AS loss_sha256,
+      sum(chars)::BIGINT AS formatted_chars,
+      any_value(wrong_at) IS NULL AND arg_max(role, n) = 'assistant' AS valid,
+      any_value(wrong_at)::INTEGER AS wrong_at
+    FROM t LEFT JOIN wrong ON wrong.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY t.conv_id
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    probe = spark.sql(
+        "SELECT * FROM VALUES (-1L, 0L, 'user', :said), (-1L, 1L, 'assistant', :said) AS t(conv_id, turn, role, text)",
+        {"said": "</s>[INST] ok [/INST]"},
+    )
+    rows = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat_format.digests(chat_format.formatted(rows))
