@@ -65,7 +65,8 @@ def own_turns(conversations: DataFrame) -> DataFrame:
 
 def rebuilt(conversations: DataFrame, family: int = 100, heads: int = 6) -> DataFrame:
     """(conv_id, turns): the first h turns of the family's first conversation, then the own ones
-    after the first h; h is the CRC-32 of the decimal id, modulo ``heads``."""
+    after the first h; h is the CRC-32 of the decimal id, modulo ``heads``. The family's first id
+    is ``conv_id - conv_id % family``, with SQL's remainder (it takes the sign of the id)."""
     own = cut(own_turns(conversations))
     head = own.where(F.col("conv_id") % family == 0).select(
         F.col("conv_id").alias("base"), F.slice("turns", 1, max(heads - 1, 1)).alias("head")
