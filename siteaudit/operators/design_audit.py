@@ -64,8 +64,11 @@ def paint_memo(elements: DataFrame) -> DataFrame:
 
 
 def contrast(elements: DataFrame) -> DataFrame:
-    """Verdict and ratio of every element; each distinct paint is judged once."""
-    return paint_memo(elements)
+    """Verdict and ratio of every element, in its row: no shuffle.
+
+    ``paint_memo`` gives the same where few distinct paints stand on many elements.
+    """
+    return judged_paint(elements)
 
 
 def _drift(elements: DataFrame, group: list[str], signature: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # tier/severity pairs, score weights, statuses outside the repair queue.
 SEVERITY = {"T1": "info", "T2": "warning", "T3": "error", "T4": "critical"}
@@ -32,18 +33,35 @@ def requires_resolution(status: Column) -> Column:
     return ~status.isin(NON_DEFECT)
 
 
-def canonical(**cols: Column) -> Column:
-    """JSON object with sorted keys; callers pass no volatile key and doubles through ``number``."""
-    return F.to_json(F.struct(*[cols[k].alias(k) for k in sorted(cols)]))
+def _quiet(c: Column, kind: T.DataType) -> Column:
+    """Doubles, also inside arrays, structs and map values, to six places."""
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        # Adding zero turns a negative zero, which noise may leave, into zero.
+        return F.round(c.cast("double"), 6) + F.lit(0.0)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _quiet(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: _quiet(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*[_quiet(c[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(c.isNotNull(), inner)
+    return c
 
 
-def number(c: Column) -> Column:
-    """A measured value as an anchor holds it: six places, so noise gives no new finding."""
-    return F.round(c.cast("double"), 6)
+def canonical(rows: DataFrame, **cols: Column) -> Column:
+    """JSON object with sorted keys over columns of ``rows``; callers pass no volatile key.
+
+    Measured values (float and double by the type in ``rows``) are rounded to six places, so
+    noise in a measurement gives no new finding.
+    """
+    kinds = rows.select(*[cols[k].alias(k) for k in sorted(cols)]).schema
+    return F.to_json(F.struct(*[_quiet(cols[f.name], f.dataType).alias(f.name) for f in kinds]))
 
 
-def source_anchor(path: Column, line: Column, column: Column, start: Column, end: Column):
-    return canonical(path=path, line=line, column=column, start=start, end=end)
+def source_anchor(
+    rows: DataFrame, path: Column, line: Column, column: Column, start: Column, end: Column
+) -> Column:
+    return canonical(rows, path=path, line=line, column=column, start=start, end=end)
 
 
 def fingerprint(
@@ -85,7 +103,10 @@ def manual_id(path: Column, issue: Column, fix: Column) -> Column:
 
 
 def evidence_policy(df: DataFrame) -> DataFrame:
-    """Known basis, well-formed authority, applicability (map) and constraints (array) trimmed and whole."""
+    """Known basis, well-formed authority, applicability (map) and constraints (array) trimmed and whole.
+
+    Of keys that are equal once trimmed, the last in the map's order wins.
+    """
     basis = F.lower(F.trim(F.coalesce("basis", F.lit(""))))
     authority = F.trim(F.coalesce("authority", F.lit("")))
     kept = F.filter(F.transform("remediation_constraints", lambda c: F.trim(c)), lambda c: c != "")
@@ -105,7 +126,14 @@ def evidence_policy(df: DataFrame) -> DataFrame:
                 authority,
             ).otherwise(""),
             "remediation_constraints": kept,
-            "applicability": F.map_from_entries(pairs),
+            "applicability": F.map_from_entries(
+                F.filter(
+                    pairs,
+                    lambda e, i: ~F.exists(
+                        F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == e["key"]
+                    ),
+                )
+            ),
         }
     )
 

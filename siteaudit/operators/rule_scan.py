@@ -209,8 +209,8 @@ def scan_checks(
 
 
 def to_findings(raw: DataFrame) -> DataFrame:
-    evidence = canonical(matched_text=F.col("matched_text"))
-    anchor = source_anchor(*[F.col(c) for c in ("path", "line", "column", "start", "end")])
+    evidence = canonical(raw, matched_text=F.col("matched_text"))
+    anchor = source_anchor(raw, *[F.col(c) for c in ("path", "line", "column", "start", "end")])
     return raw.select(
         "path",
         "detector_id",

@@ -71,18 +71,18 @@ def _blend(spark, d):
 
 @query("fingerprint", f"""
 SELECT rid, sha256('{{"contract_anchor":{{}},"detector_id":"' || detector_id ||
- '","evidence":{{"matched_text":"' || message || '"}},"runtime_anchor":{{}},"source_anchor":{{"column":'
+ '","evidence":{{"matched_text":"' || message || '","measured":' || CAST(qty / 8E0 AS VARCHAR) || '}},"runtime_anchor":{{}},"source_anchor":{{"column":'
  || col || ',"end":' || (line + qty) || ',"line":' || line || ',"path":"' || path || '","start":'
  || line || '}}}}') AS fingerprint FROM {FX}""")
 def _(spark, d):
+    # The measured value carries noise, which the address must not see.
+    f = fx(spark, d).withColumn("measured", F.expr("qty / 8D + (lno - 3) * 1E-8D"))
     anchor = fin.source_anchor(
-        F.col("path"), F.col("line"), F.col("col"), F.col("line"), F.col("line") + F.col("qty")
+        f, F.col("path"), F.col("line"), F.col("col"), F.col("line"), F.col("line") + F.col("qty")
     )
-    return fx(spark, d).select(
-        "rid",
-        fin.fingerprint(
-            F.col("detector_id"), source=anchor, evidence=fin.canonical(matched_text=F.col("message"))
-        ).alias("fingerprint"),
+    evidence = fin.canonical(f, matched_text=F.col("message"), measured=F.col("measured"))
+    return f.select(
+        "rid", fin.fingerprint(F.col("detector_id"), source=anchor, evidence=evidence).alias("fingerprint")
     )
 
 

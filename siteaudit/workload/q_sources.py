@@ -101,7 +101,7 @@ SELECT CASE c_custkey % 5 WHEN 0 THEN 'tests/' WHEN 1 THEN 'api/' ELSE 'svc/' EN
 """
 
 
-_MARKS = """'@controller', '@app.', '@router.', '@bp.', 'fastapi(', 'apirouter(', 'flask(', 'blueprint(', 'express(',
+_SERVER_MARKS = """'@controller', '@app.', '@router.', '@bp.', 'fastapi(', 'apirouter(', 'flask(', 'blueprint(', 'express(',
  'fastify', '.route(', 'app.get(', 'app.post(', 'app.put(', 'app.patch(', 'app.delete(', 'router.get(', 'router.post(',
  'router.put(', 'router.patch(', 'router.delete('"""
 
@@ -109,7 +109,7 @@ _MARKS = """'@controller', '@app.', '@router.', '@bp.', 'fastapi(', 'apirouter('
 @query(
     "backend_manifest",
     f"""SELECT path, sha256(content) AS sha256 FROM {duck(_CODE)} WHERE k % 3 <> 0 AND NOT starts_with(path,
- 'tests/') AND NOT contains(path, '/test_') AND len(list_filter([{_MARKS}],
+ 'tests/') AND NOT contains(path, '/test_') AND len(list_filter([{_SERVER_MARKS}],
  lambda m: contains(lower(content), m))) > 0""",
 )
 def _(spark, d):

@@ -17,8 +17,8 @@ def test_fingerprint_identity(spark):
     df = spark.createDataFrame(rows, "d string, p string, line int, m double")
     fp = fin.fingerprint(
         F.col("d"),
-        source=fin.canonical(path=F.col("p"), line=F.col("line")),
-        evidence=fin.canonical(metric=F.round("m", 6)),
+        source=fin.canonical(df, path=F.col("p"), line=F.col("line")),
+        evidence=fin.canonical(df, metric=F.col("m")),
     )
     got = [r.f for r in df.select(fp.alias("f")).collect()]
     assert got[0] == got[1] and len({got[0], got[2], got[3]}) == 3
@@ -30,7 +30,7 @@ def test_fingerprint_is_sha_of_sorted_json(spark):
 
     df = spark.createDataFrame([("D", "a.ts", 3)], "d string, p string, line int")
     got = df.select(
-        fin.fingerprint(F.col("d"), source=fin.canonical(path=F.col("p"), line=F.col("line")))
+        fin.fingerprint(F.col("d"), source=fin.canonical(df, path=F.col("p"), line=F.col("line")))
     ).first()[0]
     doc = {
         "detector_id": "D", "source_anchor": {"path": "a.ts", "line": 3}, "runtime_anchor": {},
@@ -180,10 +180,28 @@ def test_fingerprint_escapes_the_detector_and_keeps_null(spark):
         assert fp == hashlib.sha256(json.dumps(body, separators=(",", ":")).encode()).hexdigest()
 
 
-def test_number_hides_noise(spark):
-    one = spark.sql("SELECT 1.0D AS a, 1.0000001D AS b")
-    r = one.select(fin.canonical(m=fin.number(F.col("a"))), fin.canonical(m=fin.number(F.col("b")))).first()
-    assert r[0] == r[1]
+def test_canonical_hides_noise(spark):
+    one = spark.sql("SELECT 1.0D AS a, 1.0000001D AS b, -1E-9D AS z, 1.5F AS f, 7 AS i")
+    r = one.select(
+        fin.canonical(one, m=F.col("a")),
+        fin.canonical(one, m=F.col("b")),
+        fin.canonical(one, m=F.col("z"), f=F.col("f"), i=F.col("i")),
+        fin.canonical(one, l=F.array("a", "b"), s=F.struct("b", "i"), k=F.create_map(F.lit("x"), F.col("b"))),
+    ).first()
+    assert r[0] == r[1] == '{"m":1.0}'
+    assert r[2] == '{"f":1.5,"i":7,"m":0.0}'
+    assert r[3] == '{"k":{"x":1.0},"l":[1.0,1.0],"s":{"b":1.0,"i":7}}'
+
+
+def test_evidence_policy_takes_the_last_of_equal_keys(spark):
+    df = spark.createDataFrame([("measured", "", ["c"])], "basis string, authority string, remediation_constraints array<string>")
+    for text, want in (
+        ("map('a ', '1', 'a', '2', 'b', '3')", {"a": "2", "b": "3"}),
+        ("map('a', '1', ' a', '2', 'a ', '4')", {"a": "4"}),
+        ("map(' ', '1')", {}),
+        ("CAST(NULL AS map<string,string>)", None),
+    ):
+        assert fin.evidence_policy(df.withColumn("applicability", F.expr(text))).first()["applicability"] == want
 
 
 def test_issues_with_one_prefix_keep_apart(spark):
