@@ -1,17 +1,13 @@
-"""Facts read out of source text: tokens, calls, routes, types, API documents."""
+"""Facts read out of source text: tokens, calls, routes, types."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteaudit.functions.regex import java, match_offsets
-from siteaudit.operators.contracts import METHODS, route_normalize
 
 
 def _all(text: Column | str, pattern: str, group: int = 0) -> Column:
@@ -184,109 +180,6 @@ def site_signals(sources: DataFrame, keys: list[str]) -> DataFrame:
     return per.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in cols])
 
 
-def yaml_documents(docs: DataFrame) -> DataFrame:
-    """YAML text in ``content`` as JSON text; unreadable documents become NULL."""
-
-    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        import yaml
-
-        def one(text):
-            try:
-                return json.dumps(yaml.safe_load(text), default=str)
-            except (yaml.YAMLError, TypeError, ValueError):
-                return None
-
-        for b in batches:
-            yield pd.DataFrame({"path": b["path"], "content": b["content"].map(one)})
-
-    return docs.select("path", "content").mapInPandas(convert, "path string, content string")
-
-
-PARAM = "array<struct<`in`:string,name:string,required:boolean,style:string,explode:boolean,`$ref`:string>>"
-OPERATION = (
-    f"struct<operationId:string,parameters:{PARAM},"
-    "requestBody:struct<content:map<string,string>>,"
-    "responses:map<string,struct<content:map<string,string>>>,"
-    "security:array<map<string,array<string>>>>"
-)
-
-
-def openapi_operations(docs: DataFrame) -> DataFrame:
-    """One row per path x method of JSON API documents in ``content``.
-
-    Path-level parameters are inherited and overridden by (in, name); ``$ref`` parameters are
-    resolved against components.
-    """
-    d = docs.select(
-        "path",
-        F.from_json(F.get_json_object("content", "$.paths"), "map<string,map<string,string>>").alias("p"),
-        F.from_json(
-            F.get_json_object("content", "$.components.parameters"),
-            "map<string,struct<`in`:string,name:string,required:boolean,style:string,explode:boolean>>",
-        ).alias("refs"),
-        F.from_json(
-            F.get_json_object("content", "$.security"), "array<map<string,array<string>>>"
-        ).alias("sec"),
-    )
-    items = d.select("path", "refs", "sec", F.explode("p").alias("route", "item"))
-    ops = items.select(
-        "path", "refs", "sec", "route",
-        F.from_json(F.col("item")["parameters"], PARAM).alias("shared"),
-        F.explode("item").alias("method", "body"),
-    ).where(F.col("method").isin(METHODS))
-    o = ops.withColumn("op", F.from_json("body", OPERATION))
-
-    def resolve(ps: Column) -> Column:
-        empty = F.array().cast(PARAM)
-        return F.transform(
-            F.coalesce(ps, empty),
-            lambda x: F.struct(
-                *[
-                    F.coalesce(
-                        x[k], F.col("refs")[F.element_at(F.split(x["$ref"], "/"), -1)][k]
-                    ).alias(k)
-                    for k in ("in", "name", "required", "style", "explode")
-                ]
-            ),
-        )
-
-    own, shared = resolve(F.col("op.parameters")), resolve(F.col("shared"))
-    o = o.withColumns({"own": own, "inherited": shared})
-    kept = F.filter(
-        "inherited",
-        lambda s: ~F.exists("own", lambda x: (x["in"] == s["in"]) & (x["name"] == s["name"])),
-    )
-    sec = F.coalesce("op.security", "sec")
-    auth = (
-        F.when(sec.isNull(), "unknown")
-        .when((F.size(sec) == 0) | F.exists(sec, lambda m: F.size(m) == 0), "absent")
-        .otherwise("present")
-    )
-    statuses = F.array_sort(F.map_keys("op.responses"))
-    return o.select(
-        "path",
-        "route",
-        route_normalize(F.col("route"))["path"].alias("npath"),
-        F.upper("method").alias("method"),
-        F.concat(F.col("own"), kept).alias("params"),
-        F.array_sort(F.map_keys("op.requestBody.content")).alias("request_media"),
-        statuses.alias("statuses"),
-        F.array_sort(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        F.map_values("op.responses"),
-                        lambda r: F.coalesce(F.map_keys(r["content"]), F.array().cast("array<string>")),
-                    )
-                )
-            )
-        ).alias("response_media"),
-        auth.alias("auth"),
-    )
-
-
 # ---- viewport probes -------------------------------------------------------------------
 
 BOUNDARY = (

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteaudit.schema import CAPTURE
+from siteaudit.operators.contracts import schema_diff
+from siteaudit.sources import api_documents as api
 from siteaudit.sources import documents as src
 from siteaudit.sources import facts
-from siteaudit.workload.derive import FILES, FINDINGS, PAGES, duck, table, view
+from siteaudit.workload.derive import FILES, FINDINGS, PAGES, duck, lit, table, view
 from siteaudit.workload.q_rules import files, pages
 from siteaudit.workload.registry import query
 
@@ -233,10 +235,10 @@ SELECT 'api' || {S('s_suppkey')} || '.json' AS path, s_suppkey AS k, '{{"openapi
  npath, unnest(['path:id:true,query:page:false,query:q:true', 'path:id:true,query:q:false', '']) AS params,
  unnest(['', 'application/json,text/csv', '']) AS request_media, unnest(['application/json', '', '']) AS
  response_media, unnest(['200,404', '201', '204']) AS statuses, unnest([CASE WHEN k % 4 = 0 THEN 'present' ELSE
- 'unknown' END, 'absent', CASE WHEN k % 4 = 0 THEN 'present' ELSE 'unknown' END]) AS auth FROM {duck(_API)}""",
+ 'absent' END, 'absent', CASE WHEN k % 4 = 0 THEN 'present' ELSE 'absent' END]) AS auth FROM {duck(_API)}""",
 )
 def _(spark, d):
-    o = facts.openapi_operations(view(spark, d, _API))
+    o = api.openapi_operations(view(spark, d, _API))
     p = F.array_join(
         F.array_sort(
             F.transform(
@@ -252,6 +254,123 @@ def _(spark, d):
     )
 
 
+# Documents of three kinds: OpenAPI 3 with references, allOf and cycles, Swagger 2, and YAML.
+_OPEN3 = """{"openapi":"3.1.0","security":[{"key":[]},{}],"paths":{"/u/{id}":{
+ "get":{"responses":{"200":{"$ref":"#/components/responses/Ok"},"404":{"content":{"application/problem+json":
+  {"schema":{"$ref":"#/components/schemas/Error"}}}}}},
+ "put":{"requestBody":{"content":{"text/csv":{},"application/json":{"schema":{"allOf":[
+  {"$ref":"#/components/schemas/User"},
+  {"type":"object","required":["note"],"properties":{"note":{"type":"string","maxLength":@N},"name":{"type":"integer"}}}
+  ]}}}},"responses":{"204":{}}}}},
+ "components":{"responses":{"Ok":{"content":{"application/json":{"schema":{"$ref":"#/components/schemas/User"}}}}},
+ "schemas":{"Error":{"properties":{"detail":{"type":"string","nullable":true}}},
+ "Addr/x":{"type":"object","properties":{"zip":{"type":"string","pattern":"^[0-9]+$"}}},
+ "User":{"type":"object","required":["id"],"properties":{@P"id":{"type":"integer","format":"int64"},
+ "name":{"type":["string","null"]},"role":{"type":"string","enum":["b","a","b"]},
+ "tags":{"type":"array","items":{"type":"string","minLength":1}},
+ "address":{"$ref":"#/components/schemas/Addr~1x"}}}}}}"""
+_SWAGGER2 = """{"swagger":"2.0","consumes":["application/json"],"produces":["text/xml","application/json"],
+ "security":[{"key":[]}],"paths":{"/v":{"parameters":[{"in":"query","name":"q","type":"string"}],"post":{
+ "parameters":[{"in":"body","name":"b","schema":{"$ref":"#/definitions/P"}},
+ {"in":"query","name":"q","required":true,"collectionFormat":"csv"}],
+ "responses":{"201":{"schema":{"type":"array","items":{"$ref":"#/definitions/P"}}}}}}},
+ "definitions":{"P":{"type":"object","properties":{"n":{"type":"number","minimum":@N}}}}}"""
+_YAML = """openapi: 3.0.0
+paths:
+  /y/{id}:
+    get:
+      responses:
+        200:
+          content:
+            application/json:
+              schema: {type: array, items: {type: integer, maximum: @N, oneOf: [{type: integer}]}}
+"""
+_PARENT = """"parent":{"$ref":"#/components/schemas/User"},"""
+_SPEC = f"""
+SELECT 'spec' || {S('s_suppkey')} || CASE WHEN s_suppkey % 3 = 2 THEN '.yaml' ELSE '.json' END AS path,
+ s_suppkey AS k, replace(replace(CASE s_suppkey % 3 WHEN 0 THEN {lit(_OPEN3)} WHEN 1 THEN {lit(_SWAGGER2)}
+ ELSE {lit(_YAML)} END, '@N', {S('s_suppkey % 50 + 1')}), '@P', CASE WHEN s_suppkey % 5 = 0 THEN
+ {lit(_PARENT)} ELSE '' END) AS content FROM {{supplier}}
+"""
+# kind of document, operation, relation, status, field, type, nullable, enum, constraints, required and
+# 1 if a cycle leaves it incomplete, 2 if it stands there only with a cycle.
+_USER = """
+ ({0}, '', 'object', FALSE, '', '', FALSE, 1), ({0}, 'id', 'integer', FALSE, '', 'format=int64', TRUE, 0),
+ ({0}, 'role', 'string', FALSE, 'a|b', '', FALSE, 0), ({0}, 'tags', 'array', FALSE, '', '', FALSE, 0),
+ ({0}, 'tags[]', 'string', FALSE, '', 'minLength=1', FALSE, 0), ({0}, 'address', 'object', FALSE, '', '', FALSE, 0),
+ ({0}, 'address.zip', 'string', FALSE, '', 'pattern=^[0-9]+$', FALSE, 0),
+ ({0}, 'parent', 'recursive', FALSE, '', '', FALSE, 2)""".format
+_EXPECTED = f"""(VALUES {_USER("0, 'GET:/u/{id}', 'response', '200'")},
+ (0, 'GET:/u/{{id}}', 'response', '200', 'name', 'string', TRUE, '', '', FALSE, 0),
+ {_USER("0, 'PUT:/u/{id}', 'request', ''")},
+ (0, 'PUT:/u/{{id}}', 'request', '', 'name', 'integer', FALSE, '', '', FALSE, 0),
+ (0, 'PUT:/u/{{id}}', 'request', '', 'note', 'string', FALSE, '', 'maxLength=@N', TRUE, 0),
+ (0, 'GET:/u/{{id}}', 'error', '404', '', 'object', FALSE, '', '', FALSE, 0),
+ (0, 'GET:/u/{{id}}', 'error', '404', 'detail', 'string', TRUE, '', '', FALSE, 0),
+ (1, 'POST:/v', 'request', '', '', 'object', FALSE, '', '', FALSE, 0),
+ (1, 'POST:/v', 'request', '', 'n', 'number', FALSE, '', 'minimum=@N', FALSE, 0),
+ (1, 'POST:/v', 'response', '201', '', 'array', FALSE, '', '', FALSE, 0),
+ (1, 'POST:/v', 'response', '201', '[]', 'object', FALSE, '', '', FALSE, 0),
+ (1, 'POST:/v', 'response', '201', '[].n', 'number', FALSE, '', 'minimum=@N', FALSE, 0),
+ (2, 'GET:/y/{{id}}', 'response', '200', '', 'array', FALSE, '', '', FALSE, 0),
+ (2, 'GET:/y/{{id}}', 'response', '200', '[]', 'integer', FALSE, '', 'maximum=@N', FALSE, 0))
+ e(doc, op, relation, status, field_path, type, nullable, enum, constraints, required, mark)"""
+
+
+@query(
+    "openapi_schemas",
+    f"""SELECT s.path || ':' || op AS op_id, relation, status, field_path, type, nullable, enum,
+ replace(constraints, '@N', CAST(k % 50 + 1 AS VARCHAR)) AS constraints, required, mark > 0 AND k % 5 = 0 AS
+ incomplete FROM {duck(_SPEC)} s JOIN {_EXPECTED} ON doc = k % 3 WHERE mark < 2 OR k % 5 = 0""",
+)
+def _(spark, d):
+    return api.Contract(view(spark, d, _SPEC)).fields()
+
+
+@query(
+    "openapi_media",
+    f"""SELECT s.path || ':' || op AS op_id, side, status, media FROM {duck(_SPEC)} s JOIN (VALUES
+ (0, 'GET:/u/{{id}}', 'response', '200', 'application/json'),
+ (0, 'GET:/u/{{id}}', 'response', '404', 'application/problem+json'),
+ (0, 'PUT:/u/{{id}}', 'request', '', 'application/json'), (0, 'PUT:/u/{{id}}', 'request', '', 'text/csv'),
+ (1, 'POST:/v', 'request', '', 'application/json'), (1, 'POST:/v', 'response', '201', 'application/json'),
+ (1, 'POST:/v', 'response', '201', 'text/xml'), (2, 'GET:/y/{{id}}', 'response', '200', 'application/json'))
+ e(doc, op, side, status, media) ON doc = k % 3""",
+)
+def _(spark, d):
+    return api.Contract(view(spark, d, _SPEC)).media()
+
+
+# The client's idea of the same responses; it errs in the type of id and may miss the address.
+_CLIENT = f"""
+SELECT 'client' || {S('s_suppkey')} AS op_id, 'spec' || {S('s_suppkey')} || '.json:GET:/u/' || chr(123) || 'id' ||
+ chr(125) AS back_op, s_suppkey AS k FROM {{supplier}} WHERE s_suppkey % 3 = 0
+"""
+_CLIENT_FIELDS = """('', 'object', FALSE, '', '', FALSE), ('id', 'integer', FALSE, '', 'format=int64', TRUE),
+ ('name', 'string', TRUE, '', '', FALSE), ('role', 'string', FALSE, 'a|b', '', FALSE),
+ ('tags', 'array', FALSE, '', '', FALSE), ('tags[]', 'string', FALSE, '', 'minLength=1', FALSE),
+ ('address', 'object', FALSE, '', '', FALSE), ('address.zip', 'string', FALSE, '', 'pattern=^[0-9]+$', FALSE)"""
+
+
+@query(
+    "openapi_schema_diff",
+    f"""SELECT op_id AS front_op, back_op, CASE WHEN k % 5 = 0 THEN 'response_schema_evidence_unknown' WHEN k % 7 = 0
+ THEN 'response_field_missing' ELSE 'response_field_type_mismatch' END AS kind, CASE WHEN k % 5 = 0 THEN '' WHEN
+ k % 7 = 0 THEN 'address.zip' ELSE 'id' END AS field FROM {duck(_CLIENT)} WHERE k % 5 = 0 OR k % 7 = 0 OR k % 2 = 0""",
+)
+def _(spark, d):
+    client = view(spark, d, _CLIENT)
+    fields = spark.sql(
+        "SELECT op_id, 'response' AS relation, '200' AS status, field_path, CASE WHEN field_path = 'id' AND k % 2 = 0 "
+        "THEN 'string' ELSE type END AS type, nullable, enum, constraints, required, FALSE AS incomplete FROM {client} "
+        f"CROSS JOIN (VALUES {_CLIENT_FIELDS}) v(field_path, type, nullable, enum, constraints, required) "
+        "WHERE field_path <> 'address.zip' OR k % 7 <> 0",
+        client=client,
+    )
+    pairs = client.select(F.col("op_id").alias("front_op"), "back_op")
+    return schema_diff(pairs, api.Contract(view(spark, d, _SPEC)).fields().unionByName(fields), "response")
+
+
 # ---- tool output -----------------------------------------------------------------------
 
 _LOG = f"""
@@ -329,18 +448,3 @@ def _(spark, d):
 )
 def _(spark, d):
     return src.annotations(view(spark, d, FINDINGS))
-
-
-@query(
-    "yaml_documents",
-    """SELECT 'y' || s_suppkey AS path, CASE WHEN s_suppkey % 5 <> 0 THEN '{"name": "' || s_name || '", "n": ' ||
- s_nationkey || '}' END AS content FROM supplier""",
-)
-def _(spark, d):
-    y = table(spark, d, "supplier").select(
-        F.concat(F.lit("y"), "s_suppkey").alias("path"),
-        F.expr(
-            "CASE WHEN s_suppkey % 5 = 0 THEN 'a: [1' ELSE 'name: ' || s_name || '\nn: ' || s_nationkey END"
-        ).alias("content"),
-    )
-    return facts.yaml_documents(y)
