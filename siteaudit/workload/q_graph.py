@@ -155,10 +155,11 @@ def _(spark, d):
     return gr.render_closure(roots, e.select(F.col("a").alias("path"), F.col("b").alias("module")))
 
 
+# Modules depend on lower ones of their block of twelve; some back edges close cycles of up to four.
 _DEPS = """
-SELECT DISTINCT CASE WHEN l_orderkey % 40 = 0 THEN l_partkey % 300 ELSE greatest(l_partkey % 300, l_suppkey % 97 * 3) END
- AS src, CASE WHEN l_orderkey % 40 = 0 THEN (l_partkey % 300) - (l_partkey % 300) % 4 + (l_suppkey % 4) ELSE
- least(l_partkey % 300, l_suppkey % 97 * 3) END AS dst FROM {lineitem} WHERE l_orderkey % 17 = 0
+SELECT DISTINCT CASE WHEN o_orderkey % 40 = 0 THEN o_custkey - o_custkey % 4 ELSE o_custkey END AS src, CASE WHEN
+ o_orderkey % 40 = 0 THEN o_custkey - o_custkey % 4 + 3 ELSE greatest(o_custkey - o_custkey % 12, o_custkey - 1 -
+ o_orderkey % 5) END AS dst FROM {orders}
 """
 
 

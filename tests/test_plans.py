@@ -85,6 +85,65 @@ def test_components_and_levels(spark):
     }
 
 
+def components_by_hand(nodes, edges):
+    reach = {n: {n} for n in nodes}
+    grown = True
+    while grown:
+        grown = False
+        for a, b in edges:
+            for n in nodes:
+                if a in reach[n] and b not in reach[n]:
+                    reach[n].add(b)
+                    grown = True
+    return {n: min(m for m in nodes if m in reach[n] and n in reach[m]) for n in nodes}
+
+
+def levels_by_hand(nodes, edges, comp):
+    dag = {(comp[a], comp[b]) for a, b in edges if comp[a] != comp[b]}
+    level = dict.fromkeys(set(comp.values()), 0)
+    for _ in nodes:
+        for a, b in dag:
+            level[a] = max(level[a], level[b] + 1)
+    return {n: level[comp[n]] for n in nodes}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_and_levels_of_random_graphs(spark, seed):
+    rnd = random.Random(seed)
+    nodes = list(range(60))
+    edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45 + 10 * seed)]
+    # A ring, a tail into a cycle, a tail out of one and chains between components.
+    edges += [(100 + k, 100 + (k + 1) % 9) for k in range(9)] + [(120 + k, 121 + k) for k in range(8)]
+    edges += [(128, 100), (105, 140), (140, 141), (141, 142), (142, 107), (142, 150), (150, 151), (151, 152)]
+    nodes += [n for e in edges for n in e]
+    nodes = sorted(set(nodes))
+    comp = components_by_hand(nodes, edges)
+    level = levels_by_hand(nodes, edges, comp)
+    loop = {a for a, b in edges if a == b}
+    size = {c: list(comp.values()).count(c) for c in comp.values()}
+    e = spark.createDataFrame(edges, "src int, dst int")
+    n = spark.createDataFrame([(i,) for i in nodes], "node int")
+    got = {r.node: (r.comp, r.level, r.cyclic) for r in fixpoint.topo_levels(n, e).collect()}
+    bad = {comp[x] for x in loop}
+    assert got == {x: (comp[x], level[x], size[comp[x]] > 1 or comp[x] in bad) for x in nodes}
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    """A chain of 10,000 nodes and a ring behind it; walking would take 10,000 rounds."""
+    e = spark.range(10_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).unionByName(
+        spark.range(3_000).selectExpr("20000 + id AS src", "20000 + (id + 1) % 3000 AS dst")
+    ).unionByName(spark.sql("SELECT 10000L AS src, 20005L AS dst"))
+    n = spark.range(10_001).withColumnRenamed("id", "node").unionByName(
+        spark.range(20_000, 23_000).withColumnRenamed("id", "node")
+    )
+    got = fixpoint.topo_levels(n, e)
+    bad = got.where(
+        "CASE WHEN node < 20000 THEN comp <> node OR level <> 10001 - node OR cyclic "
+        "ELSE comp <> 20000 OR level <> 0 OR NOT cyclic END"
+    )
+    assert got.count() == 13_001 and bad.count() == 0
+
+
 def test_route_match_shapes(spark):
     pats = ["/a/:id", "/a/:id?", "/*", "/a/*", "/a/b", "/:x/b", "/"]
     paths = ["/", "/a", "/a/b", "/a/c", "/a/b/c", "/z"]
