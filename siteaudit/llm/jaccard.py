@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteaudit.llm.components import components
+from siteaudit.llm.naming import unused
 from siteaudit.llm.words import WordIds, shingles, space_words
 from siteaudit.plans.session import cut, small
 
@@ -175,7 +176,8 @@ def links(counts: list[bytes], sizes: np.ndarray, sets: list[np.ndarray] | None
 
 
 def sketch(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, n, s1, s2, keys, counts) of each text; s1 and s2 name the set by 128 bits."""
+    """(doc_id, t, n, s1, s2, keys, counts) of each text: t is the text's digest, s1 and s2 name the
+    set by 128 bits."""
 
     def run(batches):
         ids = WordIds()
@@ -192,17 +194,18 @@ def sketch(docs: DataFrame, size: int = SIZE) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(n, pa.int64()),
                     pa.array(s1, pa.int64()),
                     pa.array(s2, pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
                     pa.array(counts, pa.binary()),
                 ],
-                ["doc_id", "n", "s1", "s2", "keys", "counts"],
+                ["doc_id", "t", "n", "s1", "s2", "keys", "counts"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n long, s1 long, s2 long, keys array<long>, counts binary"
+    return docs.select(F.col("doc_id").cast("long"), "text", F.md5("text").alias("t")).mapInArrow(
+        run, "doc_id long, t string, n long, s1 long, s2 long, keys array<long>, counts binary"
     )
 
 
@@ -300,19 +303,18 @@ def blocks(sets: DataFrame, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame
     return chunked(rows, "key", F.ceil(F.col("m") / chunk).cast("long"), "key").select("key", "node", "side")
 
 
-def components_of(
-    docs: DataFrame,
-    size: int = SIZE,
-    block: int = BLOCK,
-    chunk: int = CHUNK,
-    class_shingles: int = CLASS_SHINGLES,
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs``. See the module's text."""
+def _classed(docs: DataFrame, size: int, block: int, chunk: int, class_shingles: int) -> DataFrame:
+    """(doc_id, t, n, node, root, component_id) for each row; root names the class of the row's set."""
     sketches = cut(sketch(docs, size))
     sets = cut(
         sketches.where("n > 0")
         .groupBy("n", "s1", "s2")
-        .agg(F.min("doc_id").alias("least_doc"), F.first("keys").alias("keys"), F.first("counts").alias("counts"))
+        .agg(
+            F.min("doc_id").alias("least_doc"),
+            F.min(F.struct("t", "doc_id")).alias("at"),  # a row that holds the set
+            F.first("keys").alias("keys"),
+            F.first("counts").alias("counts"),
+        )
         .withColumn("node", F.monotonically_increasing_id())
     )
     met = blocks(sets, block, chunk).join(sets.select("node", "n", "counts"), "node")
@@ -325,11 +327,23 @@ def components_of(
     whole = found.join(sets.select("node", "least_doc"), "node").groupBy("root").agg(
         F.min("least_doc").alias("component_id")
     )
-    named = found.join(whole, "root").select("node", "component_id")
+    named = found.join(whole, "root").select("node", "root", "component_id")
     by_set = sets.select("n", "s1", "s2", "node", "least_doc").join(named, "node", "left").select(
-        "n", "s1", "s2", F.coalesce("component_id", "least_doc").alias("component_id")
+        "n", "s1", "s2", "node", F.coalesce("root", "node").alias("root"),
+        F.coalesce("component_id", "least_doc").alias("component_id"),
     )
-    return sketches.select("doc_id", "n", "s1", "s2").join(by_set, ["n", "s1", "s2"], "left").select(
+    return sketches.select("doc_id", "t", "n", "s1", "s2").join(by_set, ["n", "s1", "s2"], "left")
+
+
+def components_of(
+    docs: DataFrame,
+    size: int = SIZE,
+    block: int = BLOCK,
+    chunk: int = CHUNK,
+    class_shingles: int = CLASS_SHINGLES,
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs``. See the module's text."""
+    return _classed(docs, size, block, chunk, class_shingles).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
@@ -337,16 +351,17 @@ def components_of(
 
 
 def _verified(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int, most: int) -> DataFrame:
-    """Exact links inside the classes of possible links."""
+    """Exact links inside the classes of possible links; a set's text is fetched by digest and id."""
     inside = classes.select("node", F.col("root").alias("class")).join(
-        sets.select("node", "n", "s1", "least_doc", "counts"), "node"
+        sets.select("node", "n", "s1", "at", "counts"), "node"
     )
     sums = inside.groupBy("class").agg(F.sum("n").alias("total"))
     dealt = chunked(inside.join(sums, "class"), "class", F.ceil(F.col("total") / most).cast("long"), "part")
-    rows = dealt.select("part", "side", "node", "n", "s1", "counts", "least_doc").join(
-        docs.select(F.col("doc_id").cast("long").alias("least_doc"), "text"),
-        "least_doc",
-    )
+    texts = docs.select(F.md5("text").alias("t"), F.col("doc_id").cast("long").alias("doc"), "text")
+    dealt = dealt.select("part", "side", "node", "n", "s1", "counts", "at")
+    rows = dealt.join(
+        texts, (F.col("at.t") == F.col("t")) & F.col("at.doc_id").eqNullSafe(F.col("doc"))
+    ).drop("at", "t", "doc")
 
     def run(batches):
         ids = WordIds()
@@ -375,21 +390,32 @@ def _verified(docs: DataFrame, sets: DataFrame, classes: DataFrame, size: int, m
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document, that of the least id, left of each component.
+    """``docs`` with one document of each class of linked texts left: that of the least id, and of
+    the least text digest among equal ids.
 
-    Documents without shingles or without an id stay. Rows of one id and text count once.
+    A document is a row's id and text together, so an id that repeats with another text loses
+    nothing by the first one's copies. Documents without shingles or without an id stay. Rows of
+    one id and text count once.
     """
-    found = cut(components_of(docs))
-    gone = found.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(small(cut(gone)), "doc_id", "left_anti")
-    again = cut(
-        found.where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    )
+    found = cut(_classed(docs, SIZE, BLOCK, CHUNK, CLASS_SHINGLES).where("n > 0").select("doc_id", "t", "root"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    first = found.groupBy("root").agg(F.min(row).alias("first"))
+    judged = found.where("doc_id IS NOT NULL").join(first, "root").withColumn("stays", row == F.col("first"))
+    key, doc, digest = unused(docs.columns, "key", "doc", "digest")
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("doc_id").alias(doc), F.col("t").alias(digest))
+
+    keyed = docs.withColumn(key, F.md5("text"))
+    same = lambda side: (F.col(key) == side[digest]) & F.col("doc_id").cast("long").eqNullSafe(side[doc])
+    gone = small(cut(named(judged.where("NOT stays")).distinct()))
+    kept = keyed.join(gone, same(gone), "left_anti")
+    again = cut(named(judged.where("stays").groupBy("doc_id", "t").count().where("count > 1")))
     if not again.limit(1).count():
         return kept.select(*docs.columns)
     twice = small(again)
     return (
-        kept.join(twice, "doc_id", "left_anti")
-        .unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+        kept.join(twice, same(twice), "left_anti")
+        .unionByName(kept.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text"]))
         .select(*docs.columns)
     )

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siteaudit.llm.naming import unused
 from siteaudit.plans.session import cut
 
 MIN_WORDS = 30
@@ -170,11 +171,12 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_deleted")
     names = docs.columns
+    doc, t, lost_lines, copied, key = unused(names, "doc", "t", "gone", "copy", "key")
     gone = deletions(docs, min_words).withColumnsRenamed(
-        {"doc_id": "_doc", "t": "_t", "gone": "_gone", "copy": "_copy"}
+        {"doc_id": doc, "t": t, "gone": lost_lines, "copy": copied}
     )
-    joined = docs.withColumn("_key", F.md5("text")).join(
-        gone, F.expr("_key = _t AND cast(doc_id AS long) <=> _doc"), "left"
+    joined = docs.withColumn(key, F.md5("text")).join(
+        gone, (F.col(key) == F.col(t)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left"
     )
     text = names.index("text")
 
@@ -199,7 +201,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             )
 
     out = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_deleted", T.LongType())])
-    return joined.select(*names, "_gone", "_copy").mapInArrow(run, out)
+    return joined.select(*names, lost_lines, copied).mapInArrow(run, out)
 
 
 def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteaudit.llm.naming import unused
+
 KEY = "a key for tests; production passes its own"
 ROUNDS = 8
 
@@ -297,22 +299,24 @@ def replaced(m: Column, key: str) -> Column:
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with permuted values in ``text``, and ``kinds`` and ``pseudonyms`` in text order."""
+    """``docs`` with permuted values in ``text``, and ``kinds`` and ``pseudonyms`` in text order
+    (columns of these two names are replaced, all others stay)."""
+    raw, got = unused([*docs.columns, "kinds", "pseudonyms"], "raw", "got")
     # A text without the cheap signs is passed by; only the others meet the full pattern.
     may = F.col("text").rlike(CHEAP) | F.contains(F.col("text"), F.lit(LETTERS))
     none = F.array().cast("array<string>")
     rows = docs.withColumn(
-        "_raw", F.when(may, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(none)
-    ).withColumn("_got", F.transform("_raw", lambda m: replaced(m, key)))
-    new = F.transform("_got", lambda x: F.coalesce(x["value"], x["was"]))
+        raw, F.when(may, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(none)
+    ).withColumn(got, F.transform(raw, lambda m: replaced(m, key)))
+    new = F.transform(got, lambda x: F.coalesce(x["value"], x["was"]))
     text = F.array_join(
         F.zip_with(F.split("text", ANY, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), ""
     )
-    valid = F.filter("_got", lambda x: x["value"].isNotNull())
+    valid = F.filter(got, lambda x: x["value"].isNotNull())
     return rows.withColumns(
         {
-            "text": F.when(F.size("_raw") > 0, text).otherwise(F.col("text")),
+            "text": F.when(F.size(raw) > 0, text).otherwise(F.col("text")),
             "kinds": F.transform(valid, lambda x: x["kind"]),
             "pseudonyms": F.transform(valid, lambda x: x["value"]),
         }
-    ).drop("_raw", "_got")
+    ).drop(raw, got)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteaudit.llm.divergence import SPACES, base, histograms
+from siteaudit.llm.naming import unused
 from siteaudit.llm.words import WordIds
 from siteaudit.plans.session import cut, small
 
@@ -225,6 +226,7 @@ def filtered(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     """The documents that are kept, with their own columns. Texts are not shuffled."""
     model, _, paths = fit(docs, labels, host, path)
     names = docs.columns
+    evidence, own_host, own_path, h, p, mean = unused(names, "evidence", "host", "path", "h", "p", "mean")
     at = names.index("text")
 
     def run(batches):
@@ -232,14 +234,16 @@ def filtered(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
         for batch in batches:
             codes = np.array([bins(t.as_py(), ids) for t in batch.column(at)], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(names))), pa.array(model.evidence(codes))], [*names, "_evidence"]
+                [*(batch.column(i) for i in range(len(names))), pa.array(model.evidence(codes))], [*names, evidence]
             )
 
-    out = T.StructType([*docs.schema.fields, T.StructField("_evidence", T.DoubleType())])
+    out = T.StructType([*docs.schema.fields, T.StructField(evidence, T.DoubleType())])
     rows = docs.mapInArrow(run, out).withColumns(
-        {"_host": F.col(host).cast("string"), "_path": F.col(path).cast("string")}
+        {own_host: F.col(host).cast("string"), own_path: F.col(path).cast("string")}
     )
-    side = small(paths.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("path_mean").alias("_mean")))
-    joined = rows.join(side, F.expr("_host <=> _h AND _path <=> _p"))
-    m = F.least(F.greatest(F.col("_mean"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    return joined.where(1 / (1 + F.exp(-(F.col("_evidence") + F.log(m / (1 - m))))) >= LEAST).select(*names)
+    side = small(paths.select(F.col("host").alias(h), F.col("path").alias(p), F.col("path_mean").alias(mean)))
+    joined = rows.join(
+        side, F.col(own_host).eqNullSafe(F.col(h)) & F.col(own_path).eqNullSafe(F.col(p))
+    )
+    m = F.least(F.greatest(F.col(mean), F.lit(1e-6)), F.lit(1 - 1e-6))
+    return joined.where(1 / (1 + F.exp(-(F.col(evidence) + F.log(m / (1 - m))))) >= LEAST).select(*names)

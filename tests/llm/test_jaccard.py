@@ -76,6 +76,29 @@ def test_nulls_repeats_and_no_rows(spark):
     assert kept == [("1", "a b c d e f"), ("2", "None"), ("None", "None"), ("None", "a b c d e f")]
 
 
+def test_one_of_each_removes_rows_not_ids(spark):
+    w, u = "w1 w2 w3 w4 w5 w6", "u1 u2 u3 u4 u5 u6"
+    rows = [(1, w, "a", "b", "c"), (5, w, "a", "b", "c"), (5, u, "a", "b", "c"), (7, u, "a", "b", "c"), (1, u[:5], "a", "b", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, doc string, digest string")
+    kept = ja.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r[0], r[1]) for r in kept.collect()) == [(1, u[:5]), (1, w), (5, u)]
+    # one id, two classes: neither class takes the other's row
+    both = spark.createDataFrame([(1, w), (1, u), (2, w), (2, u)], "doc_id long, text string")
+    assert sorted((r[0], r[1]) for r in ja.one_of_each(both).collect()) == [(1, u), (1, w)]
+
+
+def test_links_over_a_set_without_an_id(spark):
+    words = [f"x{k}" for k in range(60)]
+    a, b, c = (" ".join([*words[s : s + 46]]) for s in (0, 5, 10))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(42)} for t in (a, b, c)]
+    linked = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+    assert linked(sets[0], sets[1]) and linked(sets[1], sets[2]) and not linked(sets[0], sets[2])
+    docs = spark.createDataFrame([(1, a), (None, b), (3, c), (None, "other words that link with nothing here")], "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ja.components_of(docs).collect()}
+    assert got == {(1, 42): 1, (None, 42): 1, (3, 42): 1, (None, 3): None}
+
+
 def test_tree_join_finds_what_all_pairs_find():
     rng = np.random.default_rng(2)
     sets = []
