@@ -8,6 +8,7 @@ from siteaudit.functions.color import normalize_color, normalize_colors
 from siteaudit.operators import design_audit as da
 from siteaudit.operators import geometry as geo
 from siteaudit.operators import layout_audit as la
+from siteaudit.operators import peers
 from siteaudit.plans.session import spread
 from siteaudit.schema import with_measurements
 from siteaudit.workload.derive import ELEMENTS, duck, table, view
@@ -777,9 +778,23 @@ def _(spark, d):
     return out.select("selector", "occluded_fraction")
 
 
-@query("peer_groups")
+@query(
+    "peer_groups",
+    f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY capture_id, parent ORDER BY top, bottom) AS r
+  FROM (SELECT capture_id, parent, top, bottom, count(*) AS n FROM {RX} GROUP BY ALL)),
+ op(capture_id, parent, r) AS (SELECT DISTINCT capture_id, parent, 1::BIGINT FROM s UNION ALL SELECT o.capture_id,
+  o.parent, min(t.r) FROM op JOIN s o USING (capture_id, parent, r) JOIN s t ON t.capture_id = o.capture_id AND
+  t.parent = o.parent AND t.r > o.r AND NOT coalesce(least(t.bottom - t.top, o.bottom - o.top) > 0 AND
+  (least(t.bottom, o.bottom) - t.top) / least(t.bottom - t.top, o.bottom - o.top) >= 0.5, FALSE) GROUP BY ALL),
+ a AS (SELECT s.capture_id, s.parent, s.top, s.bottom, s.n, max(op.r) AS o FROM s JOIN op ON op.capture_id =
+  s.capture_id AND op.parent = s.parent AND op.r <= s.r GROUP BY ALL),
+ k AS (SELECT capture_id, parent, o, sum(n) AS members FROM a GROUP BY ALL HAVING sum(n) >= 3)
+ SELECT e.selector, e.capture_id, e.parent, f.top AS group_top, f.bottom AS group_bottom, CAST(k.members AS BIGINT) AS members
+ FROM {RX} e JOIN a USING (capture_id, parent, top, bottom) JOIN k USING (capture_id, parent, o)
+ JOIN s f ON f.capture_id = e.capture_id AND f.parent = e.parent AND f.r = o""",
+)
 def _(spark, d):
-    g = geo.peer_groups(rects(spark, d).where("lno <= 3"), ["capture_id", "parent"])
+    g = peers.peer_groups(rects(spark, d), ["capture_id", "parent"])
     return g.select("selector", "capture_id", "parent", "group_top", "group_bottom", "members")
 
 

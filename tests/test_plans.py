@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from siteaudit.operators import calibration, design_audit, geometry, graph, scoring
+from siteaudit.operators import calibration, design_audit, geometry, graph, peers, scoring
 from siteaudit.plans import fixpoint
 from siteaudit.plans.ordered import group_median, ordered
 
@@ -163,26 +163,49 @@ def test_route_match_shapes(spark):
     assert best["/a/b"] == {"/a/b"} and best["/a/b/c"] == {"/a/*"}
 
 
+def peers_by_hand(rows):
+    groups = []
+    for r in sorted(rows, key=lambda r: (r[2], r[3])):
+        if groups:
+            f = groups[-1][0]
+            size = min(r[3] - r[2], f[3] - f[2])
+            if size > 0 and (min(r[3], f[3]) - max(r[2], f[2])) / size >= 0.5:
+                groups[-1].append(r)
+                continue
+        groups.append([r])
+    return {r[1]: (g[0][2], len(g)) for g in groups if len(g) >= 3 for r in g}
+
+
 def test_peer_groups_brute_force(spark):
     rnd = random.Random(11)
-    rows = [("p", f"e{i}", float(t := rnd.randrange(200)), float(t + rnd.randrange(1, 40))) for i in range(120)]
+    rows = []
+    for parent, n, wide in (("p", 120, 40), ("q", 90, 6), ("r", 60, 190), ("one", 1, 9), (None, 40, 20)):
+        for i in range(n):
+            t = rnd.randrange(200)
+            # Some spans are empty, some end above their top, many are equal.
+            rows.append((parent, f"{parent}{i}", float(t), float(t + rnd.randrange(-1, wide))))
     df = spark.createDataFrame(rows, "parent string, selector string, top double, bottom double")
-
-    def expected():
-        groups = []
-        for r in sorted(rows, key=lambda r: (r[2], r[3])):
-            if groups:
-                f = groups[-1][0]
-                size = min(r[3] - r[2], f[3] - f[2])
-                if size > 0 and (min(r[3], f[3]) - max(r[2], f[2])) / size >= 0.5:
-                    groups[-1].append(r)
-                    continue
-            groups.append([r])
-        return {r[1]: (g[0][2], len(g)) for g in groups if len(g) >= 3 for r in g}
-
-    for limit in (0, 10**9):
-        got = {r.selector: (r.group_top, r.members) for r in geometry.peer_groups(df, ["parent"], limit).collect()}
-        assert got == expected()
+    want = {}
+    for parent in {r[0] for r in rows}:
+        want |= peers_by_hand([r for r in rows if r[0] == parent])
+    # one shard; then shards that cut through the groups
+    for limit, shard_rows in ((10**9, 10**9), (0, 25)):
+        out = peers.peer_groups(df.where("parent IS NOT NULL"), ["parent"], limit, shard_rows)
+        got = {r.selector: (r.group_top, r.members) for r in out.collect()}
+        assert got == {k: v for k, v in want.items() if not k.startswith("None")}
+
+
+def test_peer_groups_of_a_long_island(spark):
+    """One island of 30,000 spans, each overlapping the next: every second one opens a group."""
+    df = spark.range(30_000).selectExpr(
+        "'p' AS parent", "CAST(id AS STRING) AS selector", "id * 10D AS top", "id * 10D + 14D AS bottom"
+    )
+    df = df.unionByName(df).unionByName(df)
+    out = peers.peer_groups(df, ["parent"], shard_rows=4_000)
+    rows = [("p", str(k), k * 10.0, k * 10.0 + 14.0) for k in range(30_000) for _ in range(3)]
+    want = peers_by_hand(rows)
+    got = out.groupBy("selector").agg(F.min("group_top").alias("t"), F.max("members").alias("m")).collect()
+    assert {r.selector: (r.t, r.m) for r in got} == want
 
 
 def test_target_spacing_brute_force(spark):
