@@ -72,15 +72,25 @@ def _best(items) -> set[str] | None:
     return max(found, key=lambda s: (min(map(len, s)), -len(s)))
 
 
+# Matches a fold appends to one array before it starts the next.
+CHUNK = 256
+
+
 def match_offsets(text: Column, pattern: Column) -> Column:
     """array<struct<start,end,line,column,text>>, 0-based offsets, 1-based line and column.
 
     Pieces between matches and the matches themselves alternate; one fold walks them and
-    carries position, line number and the start of the current line.
+    carries position, line number and the start of the current line. Its rows gather in
+    chunks that are joined at the end, so the work stays linear in the page and its matches.
     """
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"))
+    row_type = "struct<start:int,end:int,line:int,column:int,text:string>"
+
+    def bind(value: Column, use) -> Column:
+        """``use(value)``, with the value computed once."""
+        return F.get(F.transform(F.array(value), use), 0)
 
     def newlines(s: Column) -> Column:
         return F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
@@ -93,6 +103,9 @@ def match_offsets(text: Column, pattern: Column) -> Column:
         end = pos + F.length(s)
         return end, line + nl, F.when(nl > 0, end - tail(s)).otherwise(bol)
 
+    def state(pos, line, bol, out) -> Column:
+        return F.struct(pos.alias("pos"), line.alias("line"), bol.alias("bol"), out.alias("out"))
+
     def step(acc: Column, p: Column) -> Column:
         start, line, bol = advance(acc["pos"], acc["line"], acc["bol"], p["gap"])
         end, line2, bol2 = advance(start, line, bol, p["hit"])
@@ -103,22 +116,31 @@ def match_offsets(text: Column, pattern: Column) -> Column:
             (start - bol + 1).alias("column"),
             p["hit"].alias("text"),
         )
-        return F.struct(
-            end.alias("pos"),
-            line2.alias("line"),
-            bol2.alias("bol"),
-            F.concat(acc["out"], F.array(row)).alias("out"),
+        return state(end, line2, bol2, F.concat(acc["out"], F.array(row)))
+
+    def walk(all_pairs: Column) -> Column:
+        n = F.size(all_pairs)
+        empty = F.array().cast(f"array<{row_type}>")
+
+        def chunk(done: Column, k: Column) -> Column:
+            before = F.element_at(done, -1)
+            at = F.sequence(k * CHUNK, F.least(k * CHUNK + CHUNK, n) - 1)
+            part = F.aggregate(
+                F.when(n > 0, at).otherwise(F.array().cast("array<int>")),
+                state(before["pos"], before["line"], before["bol"], empty),
+                lambda acc, i: step(acc, F.get(all_pairs, i)),
+            )
+            return F.concat(done, F.array(part))
+
+        last = F.floor((F.greatest(n, F.lit(1)) - 1) / CHUNK).cast("int")
+        return F.aggregate(
+            F.sequence(F.lit(0), last),
+            F.array(state(F.lit(0), F.lit(1), F.lit(0), empty)),
+            chunk,
+            lambda done: F.flatten(F.transform(done, lambda part: part["out"])),
         )
 
-    zero = F.struct(
-        F.lit(0).alias("pos"),
-        F.lit(1).alias("line"),
-        F.lit(0).alias("bol"),
-        F.array().cast(
-            "array<struct<start:int,end:int,line:int,column:int,text:string>>"
-        ).alias("out"),
-    )
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    return bind(pairs, walk)
 
 
 def line_text(text: Column, line: Column) -> Column:

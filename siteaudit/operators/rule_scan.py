@@ -73,11 +73,19 @@ def _wanted(exts: str, only: list[str] | None) -> bool:
     return only is None or bool(set(exts.split()) & set(only))
 
 
-def eligible(sources: DataFrame) -> DataFrame:
-    """Size and encoding guard; runs before any pattern."""
-    return sources.where(
-        (F.octet_length("content") <= MAX_BYTES) & F.is_valid_utf8("content")
+def scan_status(max_bytes: int | None = None) -> Column:
+    """What becomes of ``content``: scanned, no_text, undecodable or, beyond a guard, too_large."""
+    out = F.when(F.col("content").isNull(), "no_text").when(
+        ~F.is_valid_utf8("content"), "undecodable"
     )
+    if max_bytes is not None:
+        out = out.when(F.octet_length("content") > max_bytes, "too_large")
+    return out.otherwise("scanned")
+
+
+def eligible(sources: DataFrame, max_bytes: int | None = MAX_BYTES) -> DataFrame:
+    """Size and encoding guard; runs before any pattern. Without ``max_bytes`` any size passes."""
+    return sources.where(scan_status(max_bytes) == "scanned")
 
 
 def pattern_hits(
@@ -85,12 +93,13 @@ def pattern_hits(
     variance: int = 8,
     rules: list[str] | None = None,
     exts: list[str] | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """(source columns, rule index) for each pattern rule with at least one match.
 
     ``exts`` states which file kinds the input holds, so other rules are never planned.
     """
-    folded = eligible(sources).withColumn("_low", fold(F.col("content")))
+    folded = eligible(sources, max_bytes).withColumn("_low", fold(F.col("content")))
     cases = []
     for i, (rid, _tier, kinds, fl, pattern) in enumerate(RULES):
         if variance <= VARIANCE_ABOVE.get(rid, -1) or (rules is not None and rid not in rules):
@@ -121,18 +130,26 @@ def scan_patterns(
     variance: int = 8,
     rules: list[str] | None = None,
     exts: list[str] | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """One row per non-overlapping match of each pattern rule, with offsets."""
-    hits = pattern_hits(sources, variance, rules, exts)
+    """One row per non-overlapping match of each pattern rule, with offsets.
+
+    Digest and lines are computed once a document and rule, before its matches are exploded.
+    The outer form keeps the optimiser from testing the array, and so finding it, beforehand.
+    """
+    hits = pattern_hits(sources, variance, rules, exts, max_bytes)
     pattern = _lookup([java(p, fl) for _, _, _, fl, p in RULES], "rule")
-    return hits.select(
+    found = hits.select(
         "path",
         _lookup([r[0] for r in RULES], "rule").alias("detector_id"),
         _lookup([r[1] for r in RULES], "rule").alias("tier"),
         F.sha2("content", 256).alias("source_hash"),
-        "content",
-        F.explode(match_offsets(F.col("content"), pattern)).alias("m"),
-    ).select(
+        F.split("content", "\n", -1).alias("_lines"),
+        match_offsets(F.col("content"), pattern).alias("_found"),
+    )
+    return found.select(
+        "path", "detector_id", "tier", "source_hash", "_lines", F.explode_outer("_found").alias("m")
+    ).where("m IS NOT NULL").select(
         "path",
         "detector_id",
         "tier",
@@ -142,20 +159,15 @@ def scan_patterns(
         "m.line",
         "m.column",
         F.col("m.text").alias("matched_text"),
-        F.trim(
-            F.substring_index(
-                F.substring(
-                    F.col("content"), F.col("m.start") - F.col("m.column") + 2, F.length("content")
-                ),
-                "\n",
-                1,
-            )
-        ).alias("excerpt"),
+        F.trim(F.get("_lines", F.col("m.line") - 1)).alias("excerpt"),
     )
 
 
 def scan_checks(
-    sources: DataFrame, rules: list[str] | None = None, exts: list[str] | None = None
+    sources: DataFrame,
+    rules: list[str] | None = None,
+    exts: list[str] | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """One row per document failing a predicate rule."""
     rows = []
@@ -176,13 +188,15 @@ def scan_checks(
                 F.when(gate, at).cast("int").alias("start"),
             )
         )
-    found = F.filter(F.array(*rows), lambda r: r["start"].isNotNull())
+    none = F.array().cast("array<struct<detector_id:string,tier:string,start:int>>")
+    found = F.filter(F.array(*rows) if rows else none, lambda r: r["start"].isNotNull())
     head = F.substring(F.col("content"), F.lit(1), F.col("f.start"))
     bol_text = F.substring_index(head, "\n", -1)
     return (
-        eligible(sources)
+        eligible(sources, max_bytes)
         .withColumn("_low", fold(F.col("content")))
-        .select("path", "content", F.explode(found).alias("f"))
+        .select("path", "content", F.explode_outer(found).alias("f"))
+        .where("f IS NOT NULL")
         .select(
             "path",
             "f.detector_id",
@@ -236,10 +250,15 @@ def rule_scan(
     variance: int = 8,
     rules: list[str] | None = None,
     exts: list[str] | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """All rules over ``sources(path, ext, content, ...)``."""
-    raw = scan_patterns(sources, variance, rules, exts).unionByName(
-        scan_checks(sources, rules, exts)
+    """All rules over ``sources(path, ext, content, ...)``.
+
+    Valid text of any size is scanned; ``max_bytes`` sets a guard. ``scan_status`` tells what
+    a source without findings means.
+    """
+    raw = scan_patterns(sources, variance, rules, exts, max_bytes).unionByName(
+        scan_checks(sources, rules, exts, max_bytes)
     )
     return to_findings(raw)
 

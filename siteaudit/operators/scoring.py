@@ -21,11 +21,14 @@ def score_snapshot(
     coverage: Column,
     review: Column | None = None,
     subjects: DataFrame | None = None,
+    scanned: Column | None = None,
 ) -> DataFrame:
     """Slop, objective and blended score per key.
 
     ``coverage`` (0..1) and ``review`` (0..100 or NULL) are expressions constant per key. With
     ``subjects``, what was scanned, they are read there and a subject without findings has a row.
+    Where ``scanned``, a condition on subjects, holds for none of a key's rows, nothing was
+    judged: its scores are NULL.
     Rounding is half-even, as in the source of the formula.
     """
     live = requires_resolution(F.col("status"))
@@ -49,14 +52,21 @@ def score_snapshot(
         F.count_if(live).alias("pending"),
     )
     if subjects is not None:
-        g = subjects.groupBy(*keys).agg(*constant).join(g, keys, "left")
-        g = g.na.fill({"slop": 0.0, "critical_pending": False, "pending": 0})
-    objective = F.greatest(
-        F.lit(0), F.least(F.lit(100), F.bround(100 * F.col("coverage") - F.col("slop")))
+        seen = F.coalesce(F.bool_or(scanned if scanned is not None else F.lit(True)), F.lit(False))
+        g = subjects.groupBy(*keys).agg(*constant, seen.alias("_seen")).join(g, keys, "left")
+        nothing = {"slop": F.lit(0.0), "critical_pending": F.lit(False), "pending": F.lit(0)}
+        g = g.withColumns(
+            {c: F.coalesce(c, F.when(F.col("_seen"), v)) for c, v in nothing.items()}
+        ).drop("_seen")
+    objective = F.when(
+        F.col("slop").isNotNull(),
+        F.greatest(
+            F.lit(0), F.least(F.lit(100), F.bround(100 * F.col("coverage") - F.col("slop")))
+        ),
     ).cast("int")
     g = g.withColumn("objective", objective)
     blended = F.when(
-        F.col("review").isNotNull(),
+        F.col("review").isNotNull() & F.col("objective").isNotNull(),
         F.bround(F.col("objective") * 0.6 + F.col("review") * 0.4),
     ).otherwise(F.col("objective"))
     return g.withColumn(

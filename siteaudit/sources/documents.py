@@ -47,8 +47,17 @@ BACKEND_MARKERS = [
 TEST_DIRS = ["__tests__", "e2e", "test", "tests"]
 
 
-def read_sources(spark: SparkSession, folder: str, exts: list[str] | None = None) -> DataFrame:
-    """Files under ``folder`` as sources(path, ext, n_bytes, content, sha256)."""
+def read_sources(
+    spark: SparkSession,
+    folder: str,
+    exts: list[str] | None = None,
+    max_bytes: int | None = None,
+) -> DataFrame:
+    """Files under ``folder`` as sources(path, ext, n_bytes, content, sha256, scan_status).
+
+    Every file has a row. One that is not UTF-8 (``undecodable``) or beyond ``max_bytes``
+    (``too_large``) has no content; its status tells why nothing was scanned.
+    """
     glob = "*.{" + ",".join(exts or EXTENSIONS) + "}"
     raw = (
         spark.read.format("binaryFile")
@@ -56,13 +65,18 @@ def read_sources(spark: SparkSession, folder: str, exts: list[str] | None = None
         .option("pathGlobFilter", glob)
         .load(folder)
     )
-    ok = raw.where((F.col("length") <= 1_000_000) & F.is_valid_utf8(F.col("content").cast("string")))
-    return ok.select(
+    text = F.col("content").cast("string")
+    status = F.when(~F.is_valid_utf8(text), "undecodable")
+    if max_bytes is not None:
+        status = status.when(F.col("length") > max_bytes, "too_large")
+    status = status.otherwise("scanned")
+    return raw.select(
         F.regexp_replace("path", "^file:/*", "/").alias("path"),
         F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ext"),
         F.col("length").alias("n_bytes"),
-        F.col("content").cast("string").alias("content"),
+        F.when(status == "scanned", text).alias("content"),
         F.sha2("content", 256).alias("sha256"),
+        status.alias("scan_status"),
     )
 
 

@@ -41,7 +41,9 @@ SELECT path, slop, CAST(greatest(0, least(100, round_even(100 - slop, 0))) AS IN
 def _(spark, d):
     scanned = pages(spark, d)
     f = rule_scan.rule_scan(scanned, exts=["html"])
-    s = scoring.score_snapshot(f, ["path"], F.lit(1.0), subjects=scanned)
+    s = scoring.score_snapshot(
+        f, ["path"], F.lit(1.0), subjects=scanned, scanned=rule_scan.scan_status() == "scanned"
+    )
     return s.select("path", "slop", "objective", "blended", "pending")
 
 

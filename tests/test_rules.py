@@ -1,12 +1,15 @@
 """Rule catalog and predicate rules on small literal sources."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from siteaudit.functions.regex import fold, java, required_literals
-from siteaudit.operators import markup, rule_scan
+from siteaudit.operators import markup, rule_scan, scoring
 from siteaudit.operators.rule_catalog import RULES
 from siteaudit.operators.rule_checks import CHECKS, NEEDS, REPORTED_AS
+from siteaudit.sources import documents
 
 # rule, extension, text that must be flagged, text that must not.
 CASES = [
@@ -144,3 +147,54 @@ def test_missing_focus_reads_package_styles(spark):
     src = spark.createDataFrame(rows, "root string, path string, ext string, content string")
     got = {r.path for r in markup.missing_focus(src).collect()}
     assert got == {"p/bad.tsx", "q/utilbad.tsx"}
+
+
+def test_offsets_of_very_many_matches(spark):
+    lines = [f"é{i % 7 * ' '}console.log({i}); console.log()" for i in range(50_000)]
+    text = "\n".join(lines)
+    df = spark.createDataFrame([("big", "ts", text), ("none", "ts", ""), ("null", "ts", None)],
+                               "path string, ext string, content string")
+    got = rule_scan.scan_patterns(df, rules=["CONSOLE_LOG_SLOP"]).orderBy("start").collect()
+    want = [(m.start(), m.end(), m.group()) for m in re.finditer(r"\bconsole\.log\s*\(", text)]
+    assert [(r.start, r.end, r.matched_text) for r in got] == want
+    assert len(got) > 90_000
+    assert all(r.line == text.count("\n", 0, r.start) + 1 for r in got[::997])
+    assert all(r.excerpt == lines[r.line - 1] for r in got)
+    assert all(lines[r.line - 1][r.column - 1 :].startswith("console") for r in got[:2000])
+
+
+def test_large_pages_are_scanned_and_refused_ones_have_no_score(spark):
+    fault = "<img src='a.png'>"
+    large = "<p>plain words of a page</p>\n" * 70_000 + fault
+    rows = [("large", "html", large), ("small", "html", fault), ("clean", "html", "<p>x</p>"), ("none", "html", None)]
+    pages = spark.createDataFrame(rows, "path string, ext string, content string")
+    bad = pages.where("path = 'small'").select(
+        F.lit("bad").alias("path"), "ext", F.expr("CAST(X'3CFF3E' AS STRING)").alias("content")
+    )
+    pages = pages.unionByName(bad)
+    found = rule_scan.rule_scan(pages, rules=["IMG_ALT_MISSING_SLOP"], exts=["html"])
+    assert sorted(r.path for r in found.collect()) == ["large", "small"]
+    guarded = rule_scan.rule_scan(pages, rules=["IMG_ALT_MISSING_SLOP"], exts=["html"], max_bytes=1_000_000)
+    assert [r.path for r in guarded.collect()] == ["small"]
+    status = rule_scan.scan_status(1_000_000)
+    got = {r.path: r for r in scoring.score_snapshot(
+        guarded, ["path"], F.lit(1.0), subjects=pages, scanned=status == "scanned").collect()}
+    assert {k for k, r in got.items() if r.slop is None} == {"large", "none", "bad"}
+    assert all(got[k].objective is None and got[k].blended is None for k in ("large", "none", "bad"))
+    assert got["clean"].slop == 0 and got["clean"].objective == 100 and got["small"].slop > 0
+    assert {r.path: r.s for r in pages.select("path", status.alias("s")).collect()} == {
+        "large": "too_large", "small": "scanned", "clean": "scanned", "none": "no_text", "bad": "undecodable"}
+
+
+def test_every_rule_ends_on_a_large_page(spark):
+    part = "<div class='card p-4'><img src='a'><button onClick={f}>Go</button> // TODO x\n</div>\n"
+    df = spark.createDataFrame([("x", "html", part * 25_000)], "path string, ext string, content string")
+    assert rule_scan.rule_scan(df, exts=["html"]).count() > 25_000
+
+
+def test_files_that_cannot_be_read_keep_a_row(spark, tmp_path):
+    (tmp_path / "a.html").write_text("<p>x</p>")
+    (tmp_path / "b.html").write_bytes(b"<\xff>")
+    (tmp_path / "c.html").write_text("y" * 200)
+    got = {r.path[-6:]: (r.scan_status, r.content) for r in documents.read_sources(spark, str(tmp_path), max_bytes=100).collect()}
+    assert got == {"a.html": ("scanned", "<p>x</p>"), "b.html": ("undecodable", None), "c.html": ("too_large", None)}
