@@ -723,12 +723,24 @@ def _(spark, d):
     return _n(geo.grid_index(rects(spark, d)), "capture_id", "cx", "cy")
 
 
-_TG = f"(SELECT * FROM {RX} WHERE lno <= 2)"
+@query(
+    "grid_levels",
+    f"""SELECT capture_id, level, cx, cy, count(*) AS n FROM (SELECT capture_id, level, unnest(range(CAST(floor(
+ "left" / s) AS BIGINT), CAST(floor("right" / s) AS BIGINT) + 1)) AS cx, CAST(floor(top / s) AS BIGINT) AS y0,
+ CAST(floor(bottom / s) AS BIGINT) AS y1 FROM (SELECT *, 64 * 2 ** level AS s FROM (SELECT *, CAST(CASE WHEN
+ greatest("right" - "left", bottom - top) <= 64 THEN 0 WHEN greatest("right" - "left", bottom - top) <= 128 THEN 1
+ WHEN greatest("right" - "left", bottom - top) <= 256 THEN 2 END AS INT) AS level FROM {RX}))) t,
+ LATERAL (SELECT unnest(range(y0, y1 + 1)) AS cy) GROUP BY ALL""",
+)
+def _(spark, d):
+    return _n(geo.grid_levels(rects(spark, d)), "capture_id", "level", "cx", "cy")
+
+
 
 
 @query(
     "target_spacing",
-    f"""WITH t AS (SELECT *, ("left" + "right") / 2 AS mx, (top + bottom) / 2 AS my FROM {_TG}),
+    f"""WITH t AS (SELECT *, ("left" + "right") / 2 AS mx, (top + bottom) / 2 AS my FROM {RX}),
  p AS (SELECT a.selector, CASE WHEN b."right" - b."left" < 24 OR b.bottom - b.top < 24 THEN
   sqrt((a.mx - b.mx) ** 2 + (a.my - b.my) ** 2) - 24 ELSE sqrt((a.mx - greatest(b."left", least(a.mx,
   b."right"))) ** 2 + (a.my - greatest(b.top, least(a.my, b.bottom))) ** 2) - 12 END AS gap FROM t a
@@ -739,7 +751,7 @@ SELECT t.selector, CASE WHEN g < 0 THEN 'intersects' ELSE 'clear' END AS spacing
  USING (selector)""",
 )
 def _(spark, d):
-    out = geo.target_spacing(rects(spark, d).where("lno <= 2"))
+    out = geo.target_spacing(rects(spark, d))
     return out.select(
         "selector", "spacing", F.when(F.col("shape_gap") < 12, F.col("shape_gap")).alias("near_gap")
     )
@@ -748,13 +760,13 @@ def _(spark, d):
 @query(
     "text_collision",
     f"""SELECT selector, max(w * h) AS area FROM (SELECT a.selector, least(a."right", b."right") -
- greatest(a."left", b."left") AS w, least(a.bottom, b.bottom) - greatest(a.top, b.top) AS h FROM {_TG} a
- JOIN {_TG} b ON a.capture_id = b.capture_id AND b.ord > a.ord AND a.parent <> b.parent) WHERE w > 1 AND
+ greatest(a."left", b."left") AS w, least(a.bottom, b.bottom) - greatest(a.top, b.top) AS h FROM {RX} a
+ JOIN {RX} b ON a.capture_id = b.capture_id AND b.ord > a.ord AND a.parent <> b.parent) WHERE w > 1 AND
  h > 1 GROUP BY selector HAVING max(w * h) > 4""",
 )
 def _(spark, d):
     # Elements of one parent stand for one DOM branch here.
-    r = rects(spark, d).where("lno <= 2").withColumn("path", F.col("parent"))
+    r = rects(spark, d).withColumn("path", F.col("parent"))
     return geo.text_collision(r).select("selector", "area")
 
 

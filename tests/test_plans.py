@@ -259,3 +259,65 @@ def test_percentiles_ignore_nulls_on_both_sides_of_the_limit(spark):
     }
     assert near == {1: 8.0, 1000: 8.0}
     assert {k: round(v, 9) for k, v in between.items()} == {1: 8.1, 1000: 8.1}
+
+
+RECT = "capture_id string, selector string, left double, top double, right double, bottom double"
+
+
+def wild_rects(n, seed):
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        side = 2.0 ** rnd.choice([0, 3, 5, 6, 7, 9, 12, 29])
+        x, y = rnd.uniform(-300, 900), rnd.uniform(-300, 900)
+        rows.append(("c" + str(i % 2), f"s{i}", x, y, x + side * rnd.random(), y + side * rnd.random()))
+    inf = float("inf")
+    rows += [("c0", "all", -inf, -inf, inf, inf), ("c1", "none", None, 0.0, 5.0, 5.0), ("c0", "point", 5.0, 5.0, 5.0, 5.0)]
+    return rows
+
+
+def test_levels_bound_the_cells_of_a_rectangle(spark):
+    df = spark.createDataFrame([("c", "wild", -3.0, 7.0, 1e9, 1e9), *wild_rects(300, 1)], RECT)
+    cells = geometry.grid_levels(df).groupBy("selector").count().collect()
+    assert max(r["count"] for r in cells) <= 4
+    assert {r.selector for r in cells} == {f"s{i}" for i in range(300)} | {"wild", "all", "point"}
+
+
+@pytest.mark.parametrize("expand", [0, 24])
+def test_cell_pairs_hold_every_overlap_once(spark, expand):
+    rows = wild_rects(250, 2 + expand)
+    df = spark.createDataFrame(rows, RECT)
+    side = lambda pre: geometry._as(df, pre, "selector")
+    got = [(r.a_selector, r.b_selector) for r in geometry.cell_pairs(side("a_"), side("b_"), expand).collect()]
+    assert len(got) == len(set(got))
+    want = {
+        (a[1], b[1])
+        for a in rows
+        for b in rows
+        if a[0] == b[0] and None not in a and None not in b
+        and a[2] - expand <= b[4] and b[2] <= a[4] + expand and a[3] - expand <= b[5] and b[3] <= a[5] + expand
+    }
+    assert want <= set(got)
+    assert not any("none" in p for p in got)
+
+
+def test_occlusion_brute_force(spark):
+    rows = [r for r in wild_rects(120, 9) if None not in r and r[1] != "all"]
+    df = spark.createDataFrame([(*r, i % 7) for i, r in enumerate(rows)], RECT + ", z int")
+    got = {(r.capture_id, r.selector): (r.occluded_by, r.occluded_fraction)
+           for r in geometry.occlusion_candidates(df, df).collect()}
+    want = {}
+    for a in rows:
+        ix, iy = min(2.0, (a[4] - a[2]) / 4), min(2.0, (a[5] - a[3]) / 4)
+        pts = [((a[2] + a[4]) / 2, (a[3] + a[5]) / 2)]
+        pts += [(x, y) for y in (a[3] + iy, a[5] - iy) for x in (a[2] + ix, a[4] - ix)]
+        tops = []
+        for x, y in pts:
+            over = [(i % 7, b[1]) for i, b in enumerate(rows) if b[0] == a[0] and b[1] != a[1]
+                    and b[2] <= x < b[4] and b[3] <= y < b[5]]
+            if over:
+                tops.append(max(over)[1])
+        if tops:
+            n, by = max((tops.count(t), t) for t in tops)
+            want[a[0], a[1]] = (by, n / 5)
+    assert got == want and len(want) > 20
