@@ -138,9 +138,9 @@ def _(spark, d):
     return gr.export_resolve(asks, exports.unionByName(loop), declared)
 
 
+# Modules render others of their block of twenty; every fortieth is the module of a route.
 _LINKS = """
-SELECT DISTINCT l_partkey % 400 AS a, l_suppkey % 20 * 20 + l_partkey % 400 % 20 AS b FROM {lineitem}
- WHERE l_orderkey % 29 = 0
+SELECT DISTINCT l_partkey AS a, l_partkey - l_partkey % 20 + l_suppkey % 20 AS b FROM {lineitem}
 """
 
 

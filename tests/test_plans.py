@@ -321,3 +321,64 @@ def test_occlusion_brute_force(spark):
             n, by = max((tops.count(t), t) for t in tops)
             want[a[0], a[1]] = (by, n / 5)
     assert got == want and len(want) > 20
+
+
+def owner_by_hand(row, modules, selectors, route_sources):
+    _, route, selector, tag, hint = row
+    if hint is not None and hint in modules:
+        return "resolved", 1.0, "runtime:source-hook", hint
+    tag = tag and tag.lower()
+    special = selector if selector is not None and tag is not None and selector.lower() != tag else None
+    here = {p for r, p in route_sources if r == route and r is not None}
+    for strength, key in (("exact", selector), ("heuristic", special), ("heuristic", tag)):
+        found = {p for p, s, k in selectors if s == key and k == strength and key is not None}
+        exact = strength == "exact"
+        if len(found) == 1:
+            return "resolved", 1.0 if exact else 0.65, f"selector:{'exact' if exact else 'unique-heuristic'}", min(found)
+        if found:
+            on = found & here
+            if len(on) == 1:
+                return "resolved", 0.9 if exact else 0.6, f"selector:{strength}+route", min(on)
+            return "ambiguous", 0.0, "selector:ambiguous" + ("" if exact else "-heuristic"), None
+    if len(here) == 1:
+        return "resolved", 0.4, "route:unique-context", min(here)
+    if here:
+        return "ambiguous", 0.0, "route:ambiguous-context", None
+    return "unresolved", 0.0, "source-signature:absent", None
+
+
+def test_owners_by_hand_with_a_hot_selector(spark):
+    rnd = random.Random(8)
+    modules = ["f0", "f1"]
+    selectors = [
+        (f"f{rnd.randrange(9)}", rnd.choice([".a", ".b", ".c", "#d", "div", "nav", ".e"]), rnd.choice(["exact", "heuristic"]))
+        for _ in range(18)
+    ]
+    selectors += selectors[:4] + [(f"f{i}", ".hot", "heuristic") for i in range(40)]
+    selectors += [(f"f{i}", s, k) for i in (50, 51) for s, k in ((".x", "exact"), (".y", "heuristic"))]
+    routes = [(f"/r{rnd.randrange(8)}", f"f{rnd.randrange(40)}") for _ in range(14)] + [(None, "f3"), ("/x", "f50"), ("/z", "f1")]
+    rows = [
+        (
+            i,
+            rnd.choice([f"/r{rnd.randrange(10)}", None]),
+            rnd.choice([".a", ".b", ".c", "#d", "div", "NAV", ".e", ".none", "", None]),
+            rnd.choice(["div", "NAV", "p", None]),
+            rnd.choice(["f0", "", "gone", None, None, None]),
+        )
+        for i in range(600)
+    ]
+    rows += [(700 + i, r, s, "p", None) for i, (r, s) in enumerate((r, s) for r in ("/x", "/y", "/z") for s in (".x", ".y", ".none"))]
+    rows += [(1000 + i, f"/r{i % 8}", ".hot", "p", None) for i in range(400)] + [(None, "/r1", ".a", "div", None)] * 2
+    e = spark.createDataFrame(
+        [(*r, "x", "y") for r in rows], "eid int, url_route string, selector string, tag string, hint string, n string, a string"
+    )
+    m = spark.createDataFrame([(x,) for x in modules + modules], "path string")
+    s = spark.createDataFrame(selectors, "path string, selector string, strength string")
+    r = spark.createDataFrame(routes, "url_route string, path string")
+    got = graph.source_ownership(e, m, s, r)
+    assert got.columns == ["eid", "status", "confidence", "rule", "source"]
+    want = sorted((str(x[0]), *map(str, owner_by_hand(x, modules, selectors, routes))) for x in rows)
+    assert sorted(tuple(map(str, x)) for x in got.collect()) == want
+    assert len({x[3] for x in want}) == 10
+    assert graph.source_ownership(e.limit(0), m, s, r).count() == 0
+    assert graph.source_ownership(e, m.limit(0), s.limit(0), r.limit(0)).count() == len(rows)
