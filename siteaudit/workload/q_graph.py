@@ -401,7 +401,7 @@ _PXS = """SELECT 'c' || vec_id AS case_id, i, CASE WHEN (i + vec_id) % 7 = 0 THE
  'noticeable' ELSE 'broad' END AS band FROM ({_PXS}) GROUP BY case_id""",
 )
 def _(spark, d):
-    out = im.pixel_delta(_image_rows(spark, d)).where("status = 'ok'")
+    out = im.pixel_delta(_image_rows(spark, d), strip=24).where("status = 'ok'")
     return out.select(
         "case_id", F.col("total_pixels").cast("int").alias("total_pixels"), "raw_changed", "ignored_changed",
         "changed", "bbox", F.round("mean_delta", 4).alias("mean_delta"),
@@ -415,7 +415,7 @@ def _(spark, d):
  > 30) / count(*), 8) AS changed_ratio FROM ({_PXS}) WHERE i // 8 < 4 AND NOT ign GROUP BY case_id""",
 )
 def _(spark, d):
-    return im.region_delta(_image_rows(spark, d))
+    return im.region_delta(_image_rows(spark, d), strip=24)
 
 
 @query(
