@@ -6,8 +6,11 @@ documents that pass the base rules. A text fails where its Jensen-Shannon distan
 1) to the reference is too large. Short texts have ragged histograms, so each test has a least
 length below which it passes everything.
 
-A language outside ``COMMON`` or null is measured against every reference and takes the
-nearest.
+``COMMON`` lists the common words of four languages. For any other language that ``LEAST_DOCS``
+documents or more are marked with, they are learned from the table: its ``LISTED`` most frequent
+words, of those that make up one word in ``LEAST_SHARE`` or more. A text without a language, or of
+one that has fewer documents or none that pass the base rules, gets no verdict beyond the base
+rules and is kept: its distances are null.
 
 Edges: null and empty texts have no words and fail the base rule for short texts; repeated
 rows are judged each; an empty table gives no rows; other columns are not read.
@@ -16,6 +19,7 @@ rows are judged each; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,10 @@ COMMON = {
 WORDS = sorted({w for ws in COMMON.values() for w in ws})
 PLACE = {w.encode(): i for i, w in enumerate(WORDS)}
 
+LEAST_DOCS = 20
+LEAST_SHARE = 500
+LISTED = 30
+
 # Character classes by byte: lower case and digits, upper case, space, ordinary punctuation, other
 # signs, first byte of a non-ASCII character. Later bytes of a character are not counted (6).
 CLASSES = 6
@@ -83,12 +91,12 @@ def base(text: str | None, ids: WordIds) -> tuple[int, int, int, int, int]:
     return len(words), chars, sum(map(text.count, SYMBOLS)), twice, repeated
 
 
-def histograms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the character classes, and of the common words with all others last."""
+def histograms(text: str | None, listed: Iterable[bytes] = PLACE) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the character classes, and of the listed words with all others last."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     classes = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=CLASSES + 1)[:CLASSES]
     found = Counter(plain_words(text))
-    words = np.array([found.get(w, 0) for w in PLACE] + [0])
+    words = np.array([found.get(w, 0) for w in listed] + [0])
     words[-1] = found.total() - words.sum()
     return classes, words
 
@@ -109,8 +117,53 @@ MEASURED = (
 )
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """Base counts and histograms, as shares, of every document."""
+def learned(docs: DataFrame) -> dict[str, list[bytes]]:
+    """Common words, by language, of the languages of the table outside ``COMMON``.
+
+    Words are counted in each batch before they are shuffled. At most ``LEAST_SHARE`` words of a
+    language reach the driver, and only a table with such a language is read for them.
+    """
+    other = docs.select("text", F.col("lang").cast("string").alias("lang")).where(
+        F.col("lang").isNotNull() & ~F.col("lang").isin(*COMMON)
+    )
+    known = other.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= LEAST_DOCS)
+    names = [r["lang"] for r in known.select("lang").collect()]
+    if not names:
+        return {}
+
+    def run(batches):
+        for batch in batches:
+            found: dict[str, Counter] = {}
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found.setdefault(lang, Counter()).update(plain_words(text.as_py()))
+            rows = [(lang, w, n) for lang, words in found.items() for w, n in words.items()]
+            langs, words, counts = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(words, pa.binary()), pa.array(counts, pa.int64())],
+                ["lang", "word", "n"],
+            )
+
+    counts = cut(
+        other.where(F.col("lang").isin(*names))
+        .mapInArrow(run, "lang string, word binary, n long")
+        .groupBy("lang", "word")
+        .agg(F.sum("n").alias("n"))
+    )
+    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    frequent = counts.join(total, "lang").where(F.col("n") * LEAST_SHARE >= F.col("total")).select("lang", "word", "n")
+    out: dict[str, list[bytes]] = {name: [] for name in names}
+    for r in sorted(frequent.collect(), key=lambda r: (-r["n"], bytes(r["word"]))):
+        if len(out[r["lang"]]) < LISTED:
+            out[r["lang"]].append(bytes(r["word"]))
+    return out
+
+
+def measure(docs: DataFrame, more: dict[str, list[bytes]] | None = None) -> DataFrame:
+    """Base counts and histograms, as shares, of every document; ``more`` from ``learned``.
+
+    A language of neither list is null in the result.
+    """
+    more = more or {}
 
     def run(batches):
         ids = WordIds()
@@ -121,14 +174,14 @@ def measure(docs: DataFrame) -> DataFrame:
             ):
                 text = text.as_py()
                 counts = base(text, ids)
-                classes, words = histograms(text)
+                classes, words = histograms(text, more.get(lang, PLACE))
                 failed = counts[0] < MIN_WORDS or 100 * counts[4] > REPEATED_PERCENT * counts[0]
                 rows.append(
                     (
                         doc,
                         *counts,
                         failed,
-                        lang if lang in COMMON else None,
+                        lang if lang in COMMON or lang in more else None,
                         classes / max(1, classes.sum()),
                         words / max(1, words.sum()),
                         int(classes.sum()),
@@ -148,14 +201,14 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def references(measured: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Shares by language, medians of the classes and means of the words: a row for each
-    language of ``COMMON`` at most. A median is not moved by the junk among the documents."""
+    language that ``measure`` names. A median is not moved by the junk among the documents."""
     mean = [F.percentile_approx(F.col("classes")[i], 0.5, 1000).alias(f"classes{i}") for i in range(CLASSES)]
-    mean += [F.avg(F.col("words")[i]).alias(f"words{i}") for i in range(len(WORDS) + 1)]
+    mean += [F.avg(F.get("words", F.lit(i))).alias(f"words{i}") for i in range(len(WORDS) + 1)]
     rows = measured.where("NOT base_failed AND lang IS NOT NULL").groupBy("lang").agg(*mean).collect()
     return {
         r["lang"]: (
             np.array(c := [r[f"classes{i}"] for i in range(CLASSES)]) / max(sum(c), 1e-9),
-            np.array([r[f"words{i}"] for i in range(len(WORDS) + 1)]),
+            np.array([v for i in range(len(WORDS) + 1) if (v := r[f"words{i}"]) is not None]),
         )
         for r in rows
     }
@@ -169,21 +222,21 @@ VERDICT = (
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """Base counts, the two distances (null without a reference) and the verdict."""
-    measured = cut(measure(docs))
+    measured = cut(measure(docs, learned(docs)))
     refs = references(measured)
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
             classes = np.array(batch.column(8).to_pylist(), float).reshape(n, -1)
-            words = np.array(batch.column(9).to_pylist(), float).reshape(n, -1)
-            lang = batch.column(7).to_pylist()
+            words = batch.column(9)
+            lang = np.array(batch.column(7).to_pylist(), object)
             dc, dw = np.full(n, np.inf), np.full(n, np.inf)
             for name, (ref_c, ref_w) in refs.items():
-                mine = np.array([x is None or x not in refs or x == name for x in lang], bool)
-                if mine.any():
-                    dc[mine] = np.minimum(dc[mine], distance(classes[mine], ref_c))
-                    dw[mine] = np.minimum(dw[mine], distance(words[mine], ref_w))
+                mine = np.flatnonzero(lang == name)
+                if len(mine):
+                    dc[mine] = distance(classes[mine], ref_c)
+                    dw[mine] = distance(np.array(words.take(pa.array(mine)).to_pylist(), float), ref_w)
             far = (dc > CLASS_DISTANCE) & np.isfinite(dc) & (batch.column(10).to_numpy() >= CLASS_CHARS)
             far |= (dw > WORD_DISTANCE) & np.isfinite(dw) & (batch.column(11).to_numpy() >= WORD_WORDS)
             failed = np.array(batch.column(6).to_pylist(), bool)

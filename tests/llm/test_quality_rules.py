@@ -57,6 +57,23 @@ def test_far_texts_fail_and_near_ones_stay(spark):
     assert [d for d, k in kept.items() if not k] == [100, 101]
 
 
+def test_other_languages_are_learned_from_the_table(spark):
+    rng = random.Random(9)
+    han = [chr(0x4E00 + i) for i in range(300)]
+    zh = lambda: "，".join("".join(rng.choices(han, k=rng.randrange(2, 6))) + " 的 是" for _ in range(60))
+    made = ["".join(rng.choices("aeioukln", k=5)) for _ in range(400)]
+    fi = lambda words=("ja", "on", "ei", "se"): " ".join(rng.choice(words if rng.random() < 0.4 else made) for _ in range(200))
+    rows = [(i, zh(), "zh") for i in range(30)] + [(100 + i, fi(), "fi") for i in range(30)]
+    rows += [(200, prose(rng, 150).upper(), "zh"), (201, fi(["zzq", "zzr"]), "fi"), (202, zh(), "few"), (203, zh(), None), (204, None, "zh")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    words = dv.learned(docs)
+    assert sorted(words) == ["fi", "zh"] and set(words["fi"][:4]) == {b"ja", b"on", b"ei", b"se"}
+    assert all(len(w) <= dv.LISTED for w in words.values())
+    got = {r["doc_id"]: r for r in dv.verdicts(docs).collect()}
+    assert sorted(d for d, r in got.items() if not r["kept"]) == [200, 201, 204]
+    assert got[202]["class_distance"] is got[203]["word_distance"] is None
+
+
 def test_quality_learns_and_shrinks(spark):
     rng = random.Random(5)
     rows, labels = [], []

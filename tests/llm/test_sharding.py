@@ -1,5 +1,6 @@
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from siteaudit.llm import sharding as sh
@@ -41,5 +42,31 @@ def test_a_slot_is_for_good_and_a_new_shard_takes_rows_only_into_itself(spark, t
     assert spark.read.parquet(str(tmp_path / "map")).where("version = 1").count() == old.count()
 
 
+def test_rows_are_placed_by_the_stored_version_and_its_edits(spark, tmp_path):
+    at = str(tmp_path / "versions")
+    placed = lambda rows, n: [
+        ((r["doc_id"], r["text_crc32"]), r["vslot"], r["piece"], r["shard"], r["slot"])
+        for r in sh.assign(spark.createDataFrame(rows, "doc_id long, text string"), n, folder=at).collect()
+    ]
+    first = placed(ROWS, 6)
+    assert sorted(placed(ROWS, 6), key=str) == sorted(first, key=str)
+    more = ROWS + [(10_000 + i, "y" * (i % 50)) for i in range(300)]
+    grown, home = placed(more, 6), {(v, p): s for _, v, p, s, _ in first}
+    assert all(home.get((v, p), s) == s for _, v, p, s, _ in grown)
+    wider = placed(more, 8)
+    home = {(v, p): s for _, v, p, s, _ in grown}
+    assert all(s in (home[v, p], 6, 7) for _, v, p, s, _ in wider)
+    assert {s for _, _, _, s, _ in wider} == set(range(8))
+    for rows, got in ((ROWS, first), (more, grown), (more, wider)):
+        assert len(got) == len(rows)
+        slots = {}
+        for _, _, _, s, x in got:
+            slots.setdefault(s, []).append(x)
+        assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert sorted(r[0] for r in spark.read.parquet(at).select("version").distinct().collect()) == [1, 2, 3, 4]
+    with pytest.raises(ValueError):
+        placed(more, 7)
+
+
 def test_no_rows(spark):
     assert sh.assign(frame(spark).limit(0)).count() == 0
