@@ -251,6 +251,44 @@ def test_target_spacing_reaches_small_targets_beyond_their_side(spark):
     assert got == {"a": ("clear", 10.0, "b"), "b": ("clear", 10.0, "a"), "far": ("clear", None, None)}
 
 
+def test_cells_of_a_grid_are_not_computed_in_a_filter(spark):
+    """Filters pushed down spelled the level of a rectangle out dozens of times."""
+    df = spark.range(10).selectExpr(
+        "'c' AS capture_id", "id * 3D AS left", "id * 5D AS top", "id * 7D AS right", "id * 9D AS bottom"
+    )
+    plan = geometry.grid_levels(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "LOG2" in line]
+
+
+def test_forms_of_pages_that_share_a_script(spark):
+    """Every page loads the one script that binds every form: a row for each form, not for each pair."""
+    from siteaudit.operators.markup import project_reconcile
+
+    n = 3_000
+    pages = spark.range(n).selectExpr(
+        "concat('site/p', id, '.html') AS path", "'FORM_NO_SUBMIT_SLOP' AS detector_id",
+        """concat('<form id="f', id, '"><script src="s.js"></script>') AS content""",
+    )
+    scripts = spark.range(n - 5).selectExpr(
+        "'site/s.js' AS path",
+        """concat('document.getElementById("f', id, '").addEventListener("submit", go)') AS content""",
+    )
+    out = project_reconcile(pages.select("path", "detector_id"), pages, scripts)
+    assert sorted(r.path for r in out.collect()) == [f"site/p{i}.html" for i in range(n - 5, n)]
+
+    def rows(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            node = node.executedPlan()
+        if name.endswith("QueryStageExec"):
+            node = node.plan()
+        metric = node.metrics().get("numOutputRows")
+        kids = node.children()
+        return max([metric.get().value() if metric.isDefined() else 0, *(rows(kids.apply(i)) for i in range(kids.size()))])
+
+    assert rows(out._jdf.queryExecution().executedPlan()) <= 10 * n
+
+
 def test_capped_log_keeps_newest(spark):
     df = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 1)], "kind string, seq int")
     got = sorted((r.kind, r.seq) for r in scoring.capped_log(df, 3).collect())
