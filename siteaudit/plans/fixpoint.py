@@ -12,13 +12,22 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteaudit.plans.session import cut
+from siteaudit.plans import session
 
 MERGE = 16
 # A trimming round is slow when it takes less than one edge in SLOW.
 SLOW = 64
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A lineage cut whose joins are shuffled.
+
+    Rounds read small files of keys, and a broadcast of each, unpacked, goes through the driver: its
+    megabytes would add up over the rounds with the size of the graph.
+    """
+    return session.cut(df).hint("merge")
+
+
 def _empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 

@@ -313,6 +313,15 @@ def test_peer_deviation_shuffles_members_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_rounds_of_a_fixpoint_broadcast_no_table(spark):
+    from siteaudit.plans.fixpoint import topo_levels
+
+    edges = spark.range(60).selectExpr("id AS src", "id + 1 + id % 2 AS dst")
+    out = topo_levels(edges.select(F.col("src").alias("node")), edges)
+    assert out.count()
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_capped_log_keeps_newest(spark):
     df = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 1)], "kind string, seq int")
     got = sorted((r.kind, r.seq) for r in scoring.capped_log(df, 3).collect())
