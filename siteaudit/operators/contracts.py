@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteaudit.operators.findings import evidence_digest
+from siteaudit.plans.session import partitions
 
 NAME = r"[A-Za-z_$][\w$]*"
 # Spellings of a dynamic path segment, and a template expression.
@@ -214,16 +215,18 @@ def _first(rows: DataFrame, rank: Column) -> DataFrame:
 def transport_diff(pairs: DataFrame, params: DataFrame, media: DataFrame) -> DataFrame:
     """Parameters (a lone differing path parameter may be renamed), then media types.
 
-    Both sides' parameters are laid out by pair once; everything after that stays in place.
+    Both sides' parameters are laid out by pair once; everything after that stays in place. The
+    number of partitions grows with the pairs, so the sorts of a task do not.
     """
     key = ["front_op", "back_op"]
+    parts = partitions(pairs.sparkSession, pairs.count())
 
     def side(op: str, front: bool) -> DataFrame:
         return pairs.join(params.withColumnRenamed("op_id", op), op).select(
             *key, "location", "name", "serial", "required", F.lit(front).alias("front")
         )
 
-    rows = side("front_op", True).unionByName(side("back_op", False)).repartition(*key)
+    rows = side("front_op", True).unionByName(side("back_op", False)).repartition(parts, *key)
     w = Window.partitionBy(*key)
     path = F.col("location") == "path"
     of = lambda front: path & (F.col("front") == front)
@@ -270,7 +273,7 @@ def transport_diff(pairs: DataFrame, params: DataFrame, media: DataFrame) -> Dat
         F.when(F.col("side") == "request", "").otherwise(F.col("status")).alias("field"),
         F.when(F.col("side") == "request", 1).otherwise(2).alias("_o"),
     )
-    return _first(p.unionByName(bad), F.struct("_o", "field"))
+    return _first(p.unionByName(bad).repartition(parts, *key), F.struct("_o", "field"))
 
 
 def _walk_key(path: Column) -> Column:
@@ -301,7 +304,12 @@ def schema_diff(pairs: DataFrame, fields: DataFrame, relation: str) -> DataFrame
             F.lit(True).alias(pre + "in"),
         )
 
-    j = side("front_op", "f_").join(side("back_op", "b_"), [*key, "status", "field_path"], "full_outer")
+    # Partitioned by pair: the join and the choice of the first difference stay in place.
+    parts = partitions(pairs.sparkSession, pairs.count())
+    dealt = lambda df: df.repartition(parts, *key)
+    j = dealt(side("front_op", "f_")).join(
+        dealt(side("back_op", "b_")), [*key, "status", "field_path"], "full_outer"
+    )
     p = F.col("field_path")
     parent = F.regexp_replace(p, r"(?:\.|^)[^.\[\]]+$|\[\]$", "")
     leaf = F.regexp_extract(p, r"([^.\[\]]+)$", 1)
@@ -385,7 +393,8 @@ def first_difference(pairs: DataFrame, by_priority: list[DataFrame]) -> DataFram
     for i, df in enumerate(by_priority):
         one = df.select("front_op", "back_op", "kind", "field", F.lit(i).alias("_p"))
         out = one if out is None else out.unionByName(one)
-    return _first(out, F.col("_p"))
+    parts = partitions(pairs.sparkSession, pairs.count())
+    return _first(out.repartition(parts, "front_op", "back_op"), F.col("_p"))
 
 
 # ---- obligations -----------------------------------------------------------------------
