@@ -9,7 +9,6 @@ from siteaudit.operators import design_audit as da
 from siteaudit.operators import geometry as geo
 from siteaudit.operators import layout_audit as la
 from siteaudit.operators import peers
-from siteaudit.plans.session import spread
 from siteaudit.schema import with_measurements
 from siteaudit.workload.derive import ELEMENTS, duck, table, view
 from siteaudit.workload.registry import query
@@ -560,7 +559,7 @@ def _paint(spark, d):
         "'rgba(255,255,255,' || veil || ')',"
         "CASE WHEN pk % 19 = 0 THEN 'rgba(0,0,0,0.5)' ELSE 'rgb(' || bg || ',0,0)' END)"
     )
-    p = spread(view(spark, d, _PAINT)).withColumn("c", normalize_colors(raw))
+    p = view(spark, d, _PAINT).withColumn("c", normalize_colors(raw))
     return p.select(
         F.expr("ok % 11 <> 0").alias("painted"),
         F.expr("CASE WHEN pk % 13 = 0 THEN array('gradient') ELSE array() END")
