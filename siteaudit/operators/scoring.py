@@ -126,22 +126,12 @@ COMPONENT_ROOTS = "src app pages components features lib modules views layouts".
 def component_key(path: Column) -> Column:
     """Up to three segments from the first well-known folder, else the last two of the parent."""
     parts = F.split(path, "/")
-    at = F.coalesce(
-        F.array_min(
-            F.filter(
-                F.transform(
-                    F.array(*[F.lit(r) for r in COMPONENT_ROOTS]),
-                    lambda r: F.array_position(parts, r),
-                ),
-                lambda p: p > 0,
-            )
-        ),
-        F.lit(0),
-    ).cast("int")
+    # One search for the first such segment and two more behind it.
+    known = F.regexp_extract(path, rf"(?:^|/)((?:{'|'.join(COMPONENT_ROOTS)})(?=/|\z)(?:/[^/]*){{0,2}})", 1)
     parent = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
     tail = F.when(F.size(parent) > 2, F.slice(parent, -2, 2)).otherwise(parent)
     return (
-        F.when(at > 0, F.array_join(F.slice(parts, F.greatest(at, F.lit(1)), F.lit(3)), "/"))
+        F.when(known != "", known)
         .when(F.size(parent) == 0, F.lit("root"))
         .otherwise(F.array_join(tail, "/"))
     )
