@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteaudit.operators.findings import WEIGHTS, choose, requires_resolution
-from siteaudit.plans.ordered import ordered
+from siteaudit.plans.ordered import grouped, ordered
 
 # Impact and minutes per tier, review dimension caps.
 TIER_IMPACT = {"T1": 1, "T2": 3, "T3": 5, "T4": 10}
@@ -201,21 +201,25 @@ def category_coverage(findings: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def tree_rollup(findings: DataFrame) -> DataFrame:
-    """Issue count of every path prefix. Files are counted first, then prefixes fan out."""
-    files = findings.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    """Issue count of every path prefix. Files are counted first, then the folders fan out.
+
+    A file is its own prefix and is in no other row of its kind, so only folders are summed.
+    """
+    rows = findings.select("path").where("path IS NOT NULL")
+    files = grouped(rows, ["path"], [F.count(F.lit(1)).alias("n")])
     parts = F.split("path", "/")
-    depth = F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth")
-    return (
-        files.select("path", "n", parts.alias("parts"), depth)
-        .select(
-            F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/").alias("prefix"),
-            "depth",
-            F.when(F.col("depth") == F.size("parts"), "file").otherwise("dir").alias("kind"),
-            "n",
-        )
-        .groupBy("prefix", "depth", "kind")
+    depth = F.size("parts")
+    above = F.explode(F.when(depth > 1, F.sequence(F.lit(1), depth - 1))).alias("depth")
+    dirs = (
+        files.select("n", parts.alias("parts"))
+        .select("n", "parts", above)
+        .select(F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/").alias("prefix"), "depth", "n")
+        .groupBy("prefix", "depth")
         .agg(F.sum("n").alias("issues"))
     )
+    return files.select(
+        F.col("path").alias("prefix"), F.size(parts).alias("depth"), F.lit("file").alias("kind"), F.col("n").alias("issues")
+    ).unionByName(dirs.select("prefix", "depth", F.lit("dir").alias("kind"), "issues"))
 
 
 def queue_by_file(findings: DataFrame) -> DataFrame:

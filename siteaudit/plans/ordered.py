@@ -15,9 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteaudit.plans.session import cut
+from siteaudit.plans.session import PART_ROWS, cut, table_partitions
 
 GROUP_ROWS = 2_000_000
+# Buckets of keys that are counted to find those with a hot key.
+BUCKETS = 65_536
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -25,6 +27,28 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return int(row["n"] or 0)
 
 
+def grouped(
+    df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], parts: int | None = None, hot: int = PART_ROWS
+) -> DataFrame:
+    """``groupBy(keys).agg(aggs)`` in partitions whose number grows with the table.
+
+    Buckets of keys with more than ``hot`` rows are aggregated apart, where copies combine before
+    the shuffle; there are fewer of them than rows / hot. All other rows are dealt by key.
+    """
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = table_partitions(df) if parts is None else parts
+    if parts <= usual:
+        return df.groupBy(*keys).agg(*aggs)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    full = df.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot)
+    heavy = [r["_b"] for r in full.collect()]
+    rest = df.where(~bucket.isin(heavy)) if heavy else df
+    out = rest.repartition(parts, *keys).groupBy(*keys).agg(*aggs)
+    if heavy:
+        out = out.unionByName(df.where(bucket.isin(heavy)).groupBy(*keys).agg(*aggs))
+    return out
+
+
 def _step(kind: str, col: str | None, w_order, w_run):
     if kind == "row_number":
         return F.row_number().over(w_order)
