@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siteaudit.plans.ordered import GROUP_ROWS, ordered
+from siteaudit.plans.ordered import GROUP_ROWS, largest_group, ordered
 from siteaudit.plans.session import cut
 
 SHARD_ROWS = 200_000
@@ -154,6 +154,24 @@ def _next_spans(spans: DataFrame, group: list[str], shard_rows: int) -> DataFram
     )
 
 
+def _islands(siblings: DataFrame, group: list[str], limit: int) -> DataFrame:
+    """(group, top, bottom, n, _marked): distinct spans of the islands with three siblings or more."""
+    spans = cut(siblings.groupBy(*group, "top", "bottom").agg(F.count(F.lit(1)).alias("n")))
+    largest = largest_group(spans, group)
+    low = ordered(spans, group, ["top", "bottom"], {"_low": ("max_before", "bottom")}, limit, largest)
+    start = F.struct(F.col("top").alias("t"), F.col("bottom").alias("b"))
+    low = low.withColumn("_start", F.when(F.expr("_low IS NULL OR top >= _low"), start))
+    held = ordered(low, group, ["top", "bottom"], {"_before": ("last_before", "_start")}, limit, largest)
+    held = cut(
+        held.select(
+            *group, "top", "bottom", "n", F.col("_start").isNotNull().alias("_marked"),
+            F.coalesce("_start", "_before").alias("_i"),
+        ).select(*group, "top", "bottom", "n", "_marked", F.col("_i.t").alias("_t"), F.col("_i.b").alias("_b"))
+    )
+    whole = held.groupBy(*group, "_t", "_b").agg(F.sum("n").alias("_all")).where("_all >= 3")
+    return cut(held.join(whole, [*group, "_t", "_b"], "left_semi").select(*group, "top", "bottom", "n", "_marked"))
+
+
 def peer_groups(
     siblings: DataFrame, group: list[str], limit: int = GROUP_ROWS, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
@@ -164,11 +182,14 @@ def peer_groups(
     span that would open the next group if it had opened one itself. The openers are what these
     pointers reach from the spans that begin below everything before them; the pointers are
     doubled from round to round, so a run of n groups takes log n rounds. No span list is folded.
+
+    A span that begins below everything before it always opens a group, so groups lie within the
+    islands between such spans. Islands of fewer than three siblings are left out at once.
     """
-    spans = cut(siblings.groupBy(*group, "top", "bottom").agg(F.count(F.lit(1)).alias("n")))
     order = [*group, "top", "bottom"]
-    low = ordered(spans, group, ["top", "bottom"], {"_low": ("max_before", "bottom")}, limit)
-    marked = cut(low.where("_low IS NULL OR top >= _low").select(*order))
+    spans = _islands(siblings, group, limit)
+    marked = cut(spans.where("_marked").select(*order))
+    spans = spans.drop("_marked")
     ahead = cut(_next_spans(spans, group, shard_rows).where("to_top IS NOT NULL"))
     openers = marked
     fresh = marked

@@ -3,7 +3,7 @@
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from siteaudit.operators import contracts, design_audit, graph, scoring
+from siteaudit.operators import contracts, design_audit, graph, peers, scoring
 from siteaudit.operators.findings import dedup_findings
 from siteaudit.plans import ordered, session
 
@@ -91,3 +91,13 @@ def test_differences_are_dealt_by_the_number_of_pairs(spark, monkeypatch):
     assert out.rdd.getNumPartitions() == 40
     assert out.where("kind = 'parameter_not_supported' AND field = 'query:q'").count() == 4_000
     assert contracts.first_difference(pairs, [out]).rdd.getNumPartitions() == 40
+
+
+def test_peer_groups_leave_small_islands_out(spark):
+    rows = [("a", f"s{i}", i * 100.0, i * 100.0 + 30) for i in range(50)]
+    rows += [("a", f"t{i}", 200.0 + i, 230.0 + i) for i in range(1, 4)] + [("b", "u", 0.0, 5.0), ("b", "v", 1.0, 5.0)]
+    df = spark.createDataFrame(rows, "parent string, selector string, top double, bottom double")
+    for limit in (10**9, 0):
+        assert peers._islands(df, ["parent"], limit).agg(F.sum("n")).first()[0] == 4
+        got = {r.selector: (r.group_top, r.members) for r in peers.peer_groups(df, ["parent"], limit).collect()}
+        assert got == {s: (200.0, 4) for s in ("s2", "t1", "t2", "t3")}
