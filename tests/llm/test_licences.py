@@ -131,3 +131,33 @@ def test_plans_stay_small_and_cover_is_the_largest_share(spark):
     assert len(named) > 40
     for p, r in named.items():
         assert abs(r["cover"] - max(weight(s & terms(p)) / weight(s) for s in of[r["family"]])) < 1e-6
+
+
+def test_notices_without_words_of_the_law_are_found(spark):
+    """A notice that lacks the very word that told notices from other lines, in a line and over lines."""
+    prose = "The boat left the harbour in the morning and nobody saw it again."
+    granted, forms = MIT.replace("Permission ", ""), BSD.replace("Redistribution and ", "")
+    want = [
+        (granted, ["MIT"]),
+        (f"{prose}\nPer-\n{wrapped('mission ' + granted, 50)}\n{prose}", ["MIT"]),
+        (f"{prose} {forms} {prose}", ["BSD"]),
+        ("GNU General Public\nVersion 3, 29 June 2007", ["GPL-3.0"]),
+        (f"{prose}\nunder the terms of the GNU Affero General Public\n{prose}", ["AGPL"]),
+        (prose, []),
+        ("The software of this person is free of charge, under the conditions of the author.", []),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")
+    got = {r["doc_id"]: r["families"] for r in li.scanned(docs, li.fit(spark, docs)).collect()}
+    assert [(t[:60], got[i], f) for i, (t, f) in enumerate(want) if got[i] != f] == []
+
+
+def test_no_cover_is_reached_without_a_cue():
+    def terms(text):
+        w = re.findall(li.WORD, text.lower())
+        return set(w) | {f"{a} {b}" for a, b in pairwise(w)}
+
+    of = {f: [terms(t) for t in ts] for f, ts in li.TEMPLATES.items()}
+    spread = Counter(t for sets in of.values() for t in set().union(*sets))
+    weight = lambda s: sum(math.log(1 + len(of) / spread[t]) for t in s)
+    bare = lambda s: {t for t in s if not any(re.search(li.CUE, w) for w in t.split(" "))}
+    assert max(weight(bare(s)) / weight(s) for sets in of.values() for s in sets) < li.COVER
