@@ -704,8 +704,8 @@ RX = (
 )
 
 
-def rects(spark, d):
-    r = view(spark, d, _RECTS)
+def rects(spark, d, **how):
+    r = view(spark, d, _RECTS, **how)
     for c in ("left", "top", "right", "bottom"):
         r = r.withColumnRenamed(c + "_", c)
     return r
@@ -765,7 +765,7 @@ def _(spark, d):
 )
 def _(spark, d):
     # Elements of one parent stand for one DOM branch here.
-    r = rects(spark, d).withColumn("path", F.col("parent"))
+    r = rects(spark, d, large=()).withColumn("path", F.col("parent"))
     return geo.text_collision(r).select("selector", "area")
 
 

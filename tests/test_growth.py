@@ -1,9 +1,13 @@
 """Steps whose cost per task must not follow the size of the table."""
 
+import math
+import random
+from collections import Counter
+
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from siteaudit.operators import contracts, design_audit, graph, peers, scoring
+from siteaudit.operators import contracts, design_audit, geometry, graph, peers, scoring
 from siteaudit.operators.findings import dedup_findings
 from siteaudit.plans import ordered, session
 
@@ -101,3 +105,59 @@ def test_peer_groups_leave_small_islands_out(spark):
         assert peers._islands(df, ["parent"], limit).agg(F.sum("n")).first()[0] == 4
         got = {r.selector: (r.group_top, r.members) for r in peers.peer_groups(df, ["parent"], limit).collect()}
         assert got == {s: (200.0, 4) for s in ("s2", "t1", "t2", "t3")}
+
+
+def shuffled_rows(df):
+    """Rows that the finished plan of ``df`` wrote to shuffles, by exchange."""
+    df.collect()
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            node = node.executedPlan()
+        if name.endswith("QueryStageExec"):
+            node = node.plan()
+        kids = node.children()
+        own = node.metrics().get("shuffleRecordsWritten")
+        found = [own.get().value()] if own.isDefined() and "Exchange" in node.getClass().getSimpleName() else []
+        return found + [n for i in range(kids.size()) for n in walk(kids.apply(i))]
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def boxes(spark, n):
+    """Small elements that do not overlap."""
+    return spark.range(n).selectExpr(
+        "'c' || id % 3 AS capture_id", "'s' || id AS selector", "id AS ord", "'p' || id % 2 AS path",
+        "id % 50 * 80D AS left", "floor(id / 50) * 60D AS top", "id % 50 * 80D + 30 AS right",
+        "floor(id / 50) * 60D + 30 AS bottom",
+    )
+
+
+def test_text_collision_shuffles_a_row_once(spark):
+    df = boxes(spark, 6_000)
+    assert sum(shuffled_rows(geometry.text_collision(df))) < 2 * 6_000
+
+
+def some_boxes(spark):
+    rnd = random.Random(21)
+    rows = [("c", None, 9, "q", 1.0, 1.0, 9.0, 9.0), ("c", "null", 9, "q", None, 1.0, 9.0, 9.0), (None, "lone", 9, "q", 1.0, 1.0, 9.0, 9.0)]
+    for i in range(300):
+        x, y = rnd.randrange(-900, 900), rnd.randrange(-900, 900)
+        w, h = rnd.choice([(10, 10), (40, 30), (90, 60), (300, 20), (3000, 1), (5000, 5000)])
+        rows += [(f"c{i % 2}", f"s{i}", i % 200, f"p{i % 7}", float(x), float(y), float(x + w), float(y + h))] * rnd.choice([1, 1, 1, 2])
+    kind = "capture_id string, selector string, ord int, path string, left double, top double, right double, bottom double"
+    return rows, spark.createDataFrame(rows, kind)
+
+
+def test_text_collision_brute_force(spark):
+    rows, df = some_boxes(spark)
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] and a[0] == b[0] and b[2] > a[2] and a[3] != b[3] and None not in a[4:] + b[4:]:
+                w, h = min(a[6], b[6]) - max(a[4], b[4]), min(a[7], b[7]) - max(a[5], b[5])
+                if w > 1 and h > 1 and w * h > 4:
+                    want[a[:2]] = max(want.get(a[:2], ()), (w * h, -b[2], b[1]))
+    got = {(r.capture_id, r.selector): (r.area, r.colliding) for r in geometry.text_collision(df).collect()}
+    assert got == {k: (v[0], v[2]) for k, v in want.items()}
