@@ -750,7 +750,8 @@ SELECT t.selector, CASE WHEN g < 0 THEN 'intersects' ELSE 'clear' END AS spacing
  USING (selector)""",
 )
 def _(spark, d):
-    out = geo.target_spacing(rects(spark, d))
+    r = rects(spark, d, large=()).select("selector", "capture_id", "left", "top", "right", "bottom")
+    out = geo.target_spacing(r)
     return out.select(
         "selector", "spacing", F.when(F.col("shape_gap") < 12, F.col("shape_gap")).alias("near_gap")
     )

@@ -139,6 +139,12 @@ def test_text_collision_shuffles_a_row_once(spark):
     assert sum(shuffled_rows(geometry.text_collision(df))) < 2 * 6_000
 
 
+def test_target_spacing_shuffles_a_row_once(spark):
+    """Once for each cell that its surroundings touch, and nothing for large targets where none is."""
+    df = boxes(spark, 6_000)
+    assert sum(shuffled_rows(geometry.target_spacing(df))) < 3 * 6_000
+
+
 def some_boxes(spark):
     rnd = random.Random(21)
     rows = [("c", None, 9, "q", 1.0, 1.0, 9.0, 9.0), ("c", "null", 9, "q", None, 1.0, 9.0, 9.0), (None, "lone", 9, "q", 1.0, 1.0, 9.0, 9.0)]
@@ -161,3 +167,24 @@ def test_text_collision_brute_force(spark):
                     want[a[:2]] = max(want.get(a[:2], ()), (w * h, -b[2], b[1]))
     got = {(r.capture_id, r.selector): (r.area, r.colliding) for r in geometry.text_collision(df).collect()}
     assert got == {k: (v[0], v[2]) for k, v in want.items()}
+
+
+def test_target_spacing_of_every_size_brute_force(spark):
+    rows, df = some_boxes(spark)
+    out = geometry.target_spacing(df.withColumn("more", F.col("ord") + 1)).collect()
+    assert len(out) == len(rows) and all(r.more == r.ord + 1 for r in out)
+    got = {(r.capture_id, r.selector): (r.shape_gap, r.nearest) for r in out}
+    shapes = Counter((r[0], *r[4:]) for r in rows)
+    for a in rows:
+        near = []
+        for b in rows:
+            if not a[0] or a[0] != b[0] or None in a[4:] + b[4:] or (a[4:] == b[4:] and shapes[(b[0], *b[4:])] < 2):
+                continue
+            cx, cy = (a[4] + a[6]) / 2, (a[5] + a[7]) / 2
+            if b[6] - b[4] < 24 or b[7] - b[5] < 24:
+                gap = math.hypot(cx - (b[4] + b[6]) / 2, cy - (b[5] + b[7]) / 2) - 24
+            else:
+                gap = math.hypot(cx - max(b[4], min(cx, b[6])), cy - max(b[5], min(cy, b[7]))) - 12
+            near += [(gap, b[1] or "")] if gap < 12 else []
+        gap, by = min(near, default=(None, None))
+        assert got[a[:2]][1] == by and (gap is None or abs(got[a[:2]][0] - gap) < 0.006), a
