@@ -72,22 +72,20 @@ def base(text: str | None, ids: WordIds) -> tuple[int, int, int, int, int]:
         return 0, 0, 0, 0, 0
     words = space_words(text, lower=False)
     chars = len(text) - sum(map(text.count, SPACES))
-    seen: set[str] = set()
-    twice = 0
-    for line in text.split("\n"):
-        if line in seen:
-            twice += bool(line.strip(SPACES))
-        else:
-            seen.add(line)
+    lines = text.split("\n")
+    copies = Counter(lines) if len(set(lines)) < len(lines) else {}
+    twice = sum(n - 1 for line, n in copies.items() if n > 1 and line.strip(SPACES))
     repeated = 0
     if len(words) >= 3:
         h = windows(ids.of(words), 3)
-        _, at, n = np.unique(h, return_inverse=True, return_counts=True)
-        again = n[at] > 1
-        hit = np.zeros(len(words), bool)
-        for k in range(3):
-            hit[k : k + len(again)] |= again
-        repeated = int(hit.sum())
+        sorted_h = np.sort(h)
+        copied = sorted_h[1:][sorted_h[1:] == sorted_h[:-1]]
+        if len(copied):  # few texts have any
+            again = np.isin(h, copied)
+            hit = np.zeros(len(words), bool)
+            for k in range(3):
+                hit[k : k + len(again)] |= again
+            repeated = int(hit.sum())
     return len(words), chars, sum(map(text.count, SYMBOLS)), twice, repeated
 
 

@@ -288,7 +288,14 @@ def blocks(sets: DataFrame, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame
         "node",
         F.explode(F.slice("keys", 1, F.least(F.floor(F.col("n") / 4) + 1, F.lit(KEYS)).cast("int"))).alias("key"),
     )
-    shared = cut(first.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    met_by = first.groupBy("key").agg(
+        F.count(F.lit(1)).alias("m"),
+        F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"),
+    ).where("m > 1")
+    # Near copies share many keys: of keys with the same sets, told by two digests, one is enough.
+    once = F.when(F.col("m") > block, F.col("key"))
+    shared = cut(met_by.groupBy("m", "x", "y", once.alias("hot")).agg(F.min("key").alias("key")).select("key", "m"))
     met = first.join(shared, "key")
     hot = met.where(F.col("m") > block).select("node", "key")
     finer = (

@@ -123,3 +123,13 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(51)} | {100 + i: 100 for i in range(30)} | {199: 199, 200: 199}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_blocks_of_the_same_sets_meet_once(spark):
+    """Two near copies share 30 keys and a third set shares one of them: two blocks, not 30."""
+    rows = [(1, 200, list(range(40))), (2, 200, list(range(2, 42))), (3, 200, [5, *range(100, 139)]), (4, 200, list(range(200, 240)))]
+    sets = spark.createDataFrame(rows, "node long, n long, keys array<long>")
+    got = {}
+    for r in ja.blocks(sets).collect():
+        got.setdefault(r["key"], []).append(r["node"])
+    assert sorted(map(sorted, got.values())) == [[1, 2], [1, 2, 3]]
