@@ -59,6 +59,11 @@ CHEAP, LETTERS = "[0-9@=:\"']", "AKIA"
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 1900 to 2099 has 17 * 4297 days
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of the value, which is worked out once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _hash(key: str, tweak: str, step: Column, other: Column) -> Column:
     """A keyed hash below 2 ** 60."""
     text = F.concat(F.lit(f"{key}|{tweak}|"), step.cast("string"), F.lit("|"), other.cast("string"))
@@ -83,8 +88,8 @@ def permuted(a: Column, b: Column, size_a: int, size_b: int, key: str, tweak: st
 def _shifted(text: Column, stream: Column) -> Column:
     """Each character moved on within its class by two hex digits of ``stream``."""
 
-    def move(c, i):
-        by = F.conv(F.substr(stream, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    def move(c, i, digits):
+        by = F.conv(F.substr(digits, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
         code = F.ascii(c)
 
         def inside(base, size):
@@ -97,7 +102,9 @@ def _shifted(text: Column, stream: Column) -> Column:
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.split(text, ""), move), "")
+    return _let(
+        stream, lambda digits: F.array_join(F.transform(F.split(text, ""), lambda c, i: move(c, i, digits)), "")
+    )
 
 
 def permuted_text(text: Column, key: str, tweak: str) -> Column:
@@ -115,8 +122,8 @@ def permuted_text(text: Column, key: str, tweak: str) -> Column:
             i % 2 == 0, F.struct(_shifted(s["a"], stream(i, s["b"])).alias("a"), s["b"].alias("b"))
         ).otherwise(F.struct(s["a"].alias("a"), _shifted(s["b"], stream(i, s["a"])).alias("b")))
 
-    done = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
-    return F.concat(done["a"], done["b"])
+    rounds = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+    return F.aggregate(rounds, start, turn, lambda s: F.concat(s["a"], s["b"]))
 
 
 def _laid(digits: Column, form: Column) -> Column:
@@ -155,36 +162,39 @@ def mod97(iban: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    d = F.regexp_replace(m, "[ -]", "")
-    body = permuted_text(F.substr(d, F.lit(2), F.length(d) - 2), key, "card")
-    head = F.concat(F.substr(d, F.lit(1), F.lit(1)), body)
-    check = (10 - luhn(F.concat(head, F.lit("0")))) % 10
-    return F.when(luhn(d) == 0, _laid(F.concat(head, check.cast("string")), m))
+    def made(d):
+        body = permuted_text(F.substr(d, F.lit(2), F.length(d) - 2), key, "card")
+        head = F.concat(F.substr(d, F.lit(1), F.lit(1)), body)
+        check = lambda h: (10 - luhn(F.concat(h, F.lit("0")))) % 10
+        return F.when(luhn(d) == 0, _laid(_let(head, lambda h: F.concat(h, check(h).cast("string"))), m))
+
+    return _let(F.regexp_replace(m, "[ -]", ""), made)
 
 
 def _iban(m: Column, key: str) -> Column:
-    d = F.replace(m, F.lit(" "), F.lit(""))
-    body = permuted_text(F.substr(d, F.lit(5), F.length(d)), key, "iban")
-    land = F.substr(d, F.lit(1), F.lit(2))
-    check = 98 - mod97(F.concat(land, F.lit("00"), body))
-    made = F.concat(land, F.lpad(check.cast("string"), 2, "0"), body)
-    # 98 - r reaches 2 to 98 only, so a valid number's own check digits must lie there too
-    ok = (mod97(d) == 1) & F.substr(d, F.lit(3), F.lit(2)).between("02", "98") & F.length(d).between(15, 34)
-    return F.when(ok, _laid(made, m))
+    def made(d):
+        land = F.substr(d, F.lit(1), F.lit(2))
+        check = lambda b: 98 - mod97(F.concat(land, F.lit("00"), b))
+        new = _let(
+            permuted_text(F.substr(d, F.lit(5), F.length(d)), key, "iban"),
+            lambda b: F.concat(land, F.lpad(check(b).cast("string"), 2, "0"), b),
+        )
+        # 98 - r reaches 2 to 98 only, so a valid number's own check digits must lie there too
+        ok = (mod97(d) == 1) & F.substr(d, F.lit(3), F.lit(2)).between("02", "98") & F.length(d).between(15, 34)
+        return F.when(ok, _laid(new, m))
+
+    return _let(F.replace(m, F.lit(" "), F.lit("")), made)
 
 
 def _ip(m: Column, key: str) -> Column:
-    p = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
-    new = permuted(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, key, "ip")
-    made = F.concat_ws(
-        ".", *(x.cast("string") for h in ("a", "b") for x in (F.floor(new[h] / 256), new[h] % 256))
-    )
-    return F.when(F.forall(p, lambda x: x < 256), made)
+    def made(p):
+        new = permuted(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, key, "ip")
+        shown = lambda x: F.concat_ws(
+            ".", *(v.cast("string") for h in ("a", "b") for v in (F.floor(x[h] / 256), x[h] % 256))
+        )
+        return F.when(F.forall(p, lambda x: x < 256), _let(new, shown))
 
-
-def _let(value: Column, body) -> Column:
-    """``body`` of the value, which is worked out once however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
+    return _let(F.transform(F.split(m, r"\."), lambda x: x.cast("int")), made)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -223,35 +233,48 @@ def _ssn(m: Column, key: str) -> Column:
     area, group, serial = (x.cast("int") for x in (F.split(m, "-")[k] for k in range(3)))
     at = F.when(area > 666, area - 2).otherwise(area - 1)
     new = permuted(at, (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, "ssn")
-    back = F.when(new["a"] >= 665, new["a"] + 2).otherwise(new["a"] + 1)
-    made = F.concat_ws(
-        "-",
-        F.lpad(back.cast("string"), 3, "0"),
-        F.lpad((F.floor(new["b"] / 9999) + 1).cast("string"), 2, "0"),
-        F.lpad((new["b"] % 9999 + 1).cast("string"), 4, "0"),
-    )
-    return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), made)
+
+    def shown(x):
+        back = F.when(x["a"] >= 665, x["a"] + 2).otherwise(x["a"] + 1)
+        return F.concat_ws(
+            "-",
+            F.lpad(back.cast("string"), 3, "0"),
+            F.lpad((F.floor(x["b"] / 9999) + 1).cast("string"), 2, "0"),
+            F.lpad((x["b"] % 9999 + 1).cast("string"), 4, "0"),
+        )
+
+    ok = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    return F.when(ok, _let(new, shown))
 
 
 def _date(m: Column, key: str) -> Column:
     """Year first, or day, month and year, or month, day and year where only that is a date."""
     sign = F.when(m.contains("-"), "-").when(m.contains("."), ".").otherwise("/")
-    p = F.split(m, "[-./]")
     iso = m.contains("-")
-    day_first = F.try_to_date(F.concat_ws("-", p[2], p[1], p[0]))
-    month_first = F.try_to_date(F.concat_ws("-", p[2], p[0], p[1]))
-    day = F.when(iso, F.try_to_date(m)).otherwise(F.coalesce(day_first, month_first))
-    form = F.when(iso, "yyyy-MM-dd").when(day_first.isNotNull(), "dd/MM/yyyy").otherwise("MM/dd/yyyy")
-    n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    new = permuted(F.floor(n / DAYS[1]), n % DAYS[1], *DAYS, key, "date")
-    to = F.date_add(F.lit(FIRST_DAY).cast("date"), (new["a"] * DAYS[1] + new["b"]).cast("int"))
-    made = (
-        F.when(form == "yyyy-MM-dd", F.date_format(to, "yyyy-MM-dd"))
-        .when(form == "dd/MM/yyyy", F.date_format(to, "dd/MM/yyyy"))
-        .otherwise(F.date_format(to, "MM/dd/yyyy"))
-    )
-    inside = day.isNotNull() & n.between(0, DAYS[0] * DAYS[1] - 1)
-    return F.when(inside, F.replace(made, F.lit("/"), sign))
+
+    def read(p):
+        day_first = F.try_to_date(F.concat_ws("-", p[2], p[1], p[0]))
+        month_first = F.try_to_date(F.concat_ws("-", p[2], p[0], p[1]))
+        form = F.when(iso, "yyyy-MM-dd").when(day_first.isNotNull(), "dd/MM/yyyy").otherwise("MM/dd/yyyy")
+        day = F.when(iso, F.try_to_date(m)).otherwise(F.coalesce(day_first, month_first))
+        return F.struct(F.datediff(day, F.lit(FIRST_DAY).cast("date")).alias("n"), form.alias("form"))
+
+    def made(x):
+        n, form = x["n"], x["form"]
+        new = permuted(F.floor(n / DAYS[1]), n % DAYS[1], *DAYS, key, "date")
+
+        def shown(v):
+            to = F.date_add(F.lit(FIRST_DAY).cast("date"), (v["a"] * DAYS[1] + v["b"]).cast("int"))
+            text = (
+                F.when(form == "yyyy-MM-dd", F.date_format(to, "yyyy-MM-dd"))
+                .when(form == "dd/MM/yyyy", F.date_format(to, "dd/MM/yyyy"))
+                .otherwise(F.date_format(to, "MM/dd/yyyy"))
+            )
+            return F.replace(text, F.lit("/"), sign)
+
+        return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), _let(new, shown))
+
+    return _let(_let(F.split(m, "[-./]"), read), made)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -290,12 +313,16 @@ _SHAPE = {k: "^(?:" + p + ")$" for k, p in PATTERNS.items()} | {"hex": "^[0-9a-f
 def replaced(m: Column, key: str) -> Column:
     """struct(kind, value) of a match; value is null where the match does not validate."""
     kind = F.lit(None).cast("string")
-    value = F.lit(None).cast("string")
     for name in reversed(RULES):
-        fits = m.rlike(_SHAPE[name])
-        kind = F.when(fits, F.lit(name)).otherwise(kind)
-        value = F.when(fits, RULES[name](m, key)).otherwise(value)
-    return F.struct(kind.alias("kind"), value.alias("value"), m.alias("was"))
+        kind = F.when(m.rlike(_SHAPE[name]), F.lit(name)).otherwise(kind)
+
+    def ruled(k):
+        value = F.lit(None).cast("string")
+        for name in reversed(RULES):
+            value = F.when(k == name, RULES[name](m, key)).otherwise(value)
+        return F.struct(k.alias("kind"), value.alias("value"), m.alias("was"))
+
+    return _let(kind, ruled)
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
